@@ -6,8 +6,10 @@ import importlib
 
 #: Query name -> module of this subpackage with query(spark, sf_dir) and, where it exists, SQL.
 MODULES = {
+    "op1_chat_format": "chat_format",
     "op4_simhash": "simhash",
     "op7_exact_dedup": "exact_dedup",
+    "op8_url_filter": "url_filter",
     "op9_mixing": "mixing",
 }
 
