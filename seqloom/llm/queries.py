@@ -11,6 +11,7 @@ MODULES = {
     "op7_exact_dedup": "exact_dedup",
     "op8_url_filter": "url_filter",
     "op9_mixing": "mixing",
+    "op10_quality": "quality",
 }
 
 
