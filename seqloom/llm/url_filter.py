@@ -5,7 +5,7 @@ that fits decides. Where none fits, a URL is blocked if its canonical form is li
 
 The list's Bloom filter is a table of blocks of 64 bits. A URL's hash picks its block and, with a second hash,
 four bits of it, so a probe reads one block: pages are joined to the blocks by number, which is a broadcast only as long as the
-filter has at most BROADCAST_BLOCKS blocks (16 bytes each). Pages whose bits are all set go on to an exact join with the
+filter has at most bloom.BROADCAST_BLOCKS blocks (16 bytes each). Pages whose bits are all set go on to an exact join with the
 list, which removes false positives; the others never enter a shuffle.
 
 Canonical form: host in lower case without `www.` and default port, path without `/` at its end, query without
@@ -18,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import table, without
 
 Rule = tuple[str, str, str]
 #: (verdict, host, path), fixed values of the query.
 RULES: list[Rule] = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 MAX_RULES = 200
-#: Keys for each block of 64 bits, and bits for each key.
-KEYS_A_BLOCK, PROBES = 4, 4
-BROADCAST_BLOCKS = 1 << 16
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 QUERY = r"(?s)^.*?://[^?#]*\?([^#]*)"
@@ -64,34 +62,10 @@ def rule_that_fits(host_: Column, path_: Column, rules: list[Rule]) -> tuple[Col
     return name, verdict
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(blocks - 1)
-
-
-def _bits(key: Column) -> Column:
-    h = F.xxhash64(key, F.lit(1))
-    out = F.lit(0).cast("long")
-    for k in range(PROBES):
-        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int")))
-    return out
-
-
-def bloom(listed: DataFrame, key: str = "url") -> tuple[DataFrame, int]:
-    """((block, word), number of blocks) for a table of different keys."""
-    blocks = 1 << max(0, (listed.count() // KEYS_A_BLOCK).bit_length())
-    words = listed.select(_block(F.col(key), blocks).alias("block"), _bits(F.col(key)).alias("bits"))
-    return words.groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
-
-
 def listed_keys(pages: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
     """pages with a column listed: whether the key is in listed(url)."""
-    words, blocks = bloom(listed)
-    if blocks <= BROADCAST_BLOCKS:
-        words = F.broadcast(words)
     k = F.col(key)
-    probed = pages.join(words, _block(k, blocks) == F.col("block"), "left")
-    possible = F.coalesce(k.isNotNull() & (_bits(k).bitwiseAND(F.col("word")) == _bits(k)), F.lit(False))
-    probed = probed.withColumn("__possible", possible).drop("block", "word")
+    probed = bloom.probe(pages, k, *bloom.build(listed, "url"))
     passed = probed.where("__possible").join(listed.select(F.col("url").alias("__url")), k == F.col("__url"), "left")
     passed = passed.withColumn("listed", F.col("__url").isNotNull()).drop("__url", "__possible")
     return passed.unionByName(probed.where("not __possible").withColumn("listed", F.lit(False)).drop("__possible"))
