@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module of this subpackage with query(spark, sf_dir) and, where it exists, SQL.
 MODULES = {
     "op1_chat_format": "chat_format",
+    "op2_token_pack": "token_pack",
     "op3_rank_bpe": "rank_bpe",
     "op4_simhash": "simhash",
     "op7_exact_dedup": "exact_dedup",
