@@ -10,6 +10,7 @@ MODULES = {
     "op2_token_pack": "token_pack",
     "op3_rank_bpe": "rank_bpe",
     "op4_simhash": "simhash",
+    "op5_toxicity": "toxicity",
     "op7_exact_dedup": "exact_dedup",
     "op8_url_filter": "url_filter",
     "op9_mixing": "mixing",
