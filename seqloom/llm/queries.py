@@ -11,6 +11,7 @@ MODULES = {
     "op3_rank_bpe": "rank_bpe",
     "op4_simhash": "simhash",
     "op5_toxicity": "toxicity",
+    "op6_lang_id": "lang_id",
     "op7_exact_dedup": "exact_dedup",
     "op8_url_filter": "url_filter",
     "op9_mixing": "mixing",
