@@ -2,7 +2,8 @@
 
 Texts are split by their length and first bytes, then by successive longer runs of bytes, until a group has one
 text or its texts have ended; texts that stay together to the end are equal, without any digest. After the
-first split only groups with more than one row go on, so later rounds move little more than the copies.
+first split only groups with more than one row go on, so later rounds move little more than the copies. A Bloom filter of
+at most BROADCAST_BLOCKS blocks, whatever the input, keeps most other texts from being shuffled to that split's join.
 Each split is an aggregation that combines on the map side, and a join of rows to the groups that
 are left, which adaptive execution splits where one group holds many of the rows.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import discard, lower_ascii, materialize, table, text_or_empty
 
 FIRST_BYTES = 64
@@ -38,7 +40,10 @@ def groups_of_equals(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     over = keys.join(shared.where(F.col("n") <= FIRST_BYTES), ["n", "head"]).select("id", "sha", "keep_id", "size")
     done = [over]
     left = shared.where(F.col("n") > FIRST_BYTES).select(F.col("n").alias("gn"), F.col("head").alias("ghead"), "gid")
-    live = base.join(left, (n == F.col("gn")) & (head == F.col("ghead"))).select("id", "gid", F.col("gn").alias("n"), F.sha2("text", 256).alias("sha"), "text")
+    key = F.concat(F.hex(n.cast("long")), F.lit("/"), head.cast("string"))
+    words, blocks = bloom.build(left.select(F.concat(F.hex(F.col("gn").cast("long")), F.lit("/"), F.col("ghead").cast("string")).alias("key")), "key", bloom.BROADCAST_BLOCKS)
+    live = bloom.probe(base, key, words, blocks).where("__possible").drop("__possible")
+    live = live.join(left, (n == F.col("gn")) & (head == F.col("ghead"))).select("id", "gid", F.col("gn").alias("n"), F.sha2("text", 256).alias("sha"), "text")
     live = materialize(live, "dedup-live")
     at = FIRST_BYTES
     while not live.isEmpty():
