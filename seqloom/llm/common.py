@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, discard, materialize, shared_path, shared_root
+
+__all__ = ["delete", "discard", "materialize", "shared_path", "shared_root"]
+
 #: White space between words: the space and the bytes 09 to 0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,8 +16,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch. Long texts make batches of this many rows a few MB, so a Python worker stays small.
 BATCH_ROWS = 256
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,49 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"seqloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_root(spark).rstrip('/')}/seqloom/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there and no executor holds the only copy."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended; the folder's owner clears it
-            return
-
-
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
