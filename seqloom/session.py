@@ -32,10 +32,7 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"seqloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or "file://" + os.path.join(tempfile.gettempdir(), f"seqloom-{os.getpid()}")
 
 
 def delete(spark: SparkSession, path: str) -> None:
