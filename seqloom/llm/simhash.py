@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_name, materialize, small_batches
@@ -145,16 +145,21 @@ def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS) -> np.ndarray:
     return out
 
 
+def _text_hash(text_col: str) -> Column:
+    """With the id it tells rows apart where ids are null or repeat."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def add_fingerprint(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. One row for each row of df."""
+    """(id, text_hash, fp): the fingerprint as a signed long. One row for each row of df."""
     small_batches(df.sparkSession)
-    kept = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = df.select(F.col(f"`{id_col}`").alias("id"), _text_hash(text_col).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1)).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2)).view(np.int64))], ["id", "text_hash", "fp"])
 
-    return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, fp long")
+    return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, text_hash long, fp long")
 
 
 def codes(fp: np.ndarray) -> np.ndarray:
@@ -330,7 +335,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component_id) for each row of df."""
+    """(id, text_hash, fp, component_id) for each row of df."""
     docs = materialize(add_fingerprint(df, text_col, id_col), "simhash-fingerprints")
     fps = materialize(docs.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
     roots = components(link_forest(fps, bits))
@@ -339,18 +344,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     tied = tied.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     named = materialize(fps.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "simhash-components")
-    return docs.join(named, "fp", "left").select("id", "fp", "component_id")
+    return docs.join(named, "fp", "left").select("id", "text_hash", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """The rows of df whose id is the smallest of their component; of repeated rows with that id, all stay.
 
-    Rows of a component without any id that isn't null all stay.
+    Rows without an id stay only where no row of their component has one.
     """
     out = near_duplicates(df, id_col, text_col, bits)
-    key = free_name(df.columns, "dropped_id")
-    dropped = materialize(out.where("id <> component_id or (id is null and component_id is not null)").select(F.col("id").alias(key)).distinct(), "simhash-dropped")
-    return df.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_anti")
+    key, text = free_name(df.columns, "dropped_id"), free_name(df.columns, "dropped_text")
+    dropped = out.where("id <> component_id or (id is null and component_id is not null)").select(F.col("id").alias(key), F.col("text_hash").alias(text))
+    dropped = materialize(dropped.distinct(), "simhash-dropped")
+    return df.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (_text_hash(text_col) == F.col(text)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
