@@ -70,26 +70,26 @@ def _hash_sql(x: str, name: str, source: str) -> str:
 
 
 def minimizers_sql(source: str, p: str) -> str:
-    """CTEs that end in `<p>m`(id, pos, hash, strand): minimizers of the sequences of source."""
-    w = "window w as (partition by id order by i)"
+    """CTEs that end in `<p>m`(id, pos, hash, strand): minimizers of the sequences of source. Lists side by side give a k-mer's bases without a sort."""
+    shifted = ", ".join(f"unnest(c[{j + 1}:]) b{j}" for j in range(K))
+    f = " + ".join(f"b{j} * {4 ** (K - 1 - j)}" for j in range(K))
+    r = " + ".join(f"(3 - b{j}) * {4**j}" for j in range(K))
     return f"""
 {p}s as ({source}),
-{p}b as (select id, i, len(seq) n, cast(position(substr(seq, cast(i as int) + 1, 1) in 'ACGT') - 1 as bigint) b from (select id, seq, unnest(range(len(seq))) i from {p}s)),
-{p}2 as (select *, b * 4 + lead(b) over w f2, (3 - b) + 4 * (3 - lead(b) over w) r2, lead(b, 18) over w b18 from {p}b {w}),
-{p}4 as (select *, f2 * 16 + lead(f2, 2) over w f4, r2 + 16 * lead(r2, 2) over w r4, lead(f2, 16) over w f2_16, lead(r2, 16) over w r2_16 from {p}2 {w}),
-{p}8 as (select *, f4 * 256 + lead(f4, 4) over w f8, r4 + 256 * lead(r4, 4) over w r8 from {p}4 {w}),
-{p}k as (select id, i, (f8 * 65536 + lead(f8, 8) over w) * 64 + f2_16 * 4 + b18 f, r8 + 65536 * lead(r8, 8) over w + 4294967296 * r2_16 + 68719476736 * (3 - b18) r from {p}8 {w}),
-{p}c as (select id, i, least(f, r) z, cast(f > r as int) strand from {p}k where f is not null and r is not null),
+{p}b as (select id, len(seq) - {K - 1} n, list_transform(string_split(seq, ''), lambda x: cast(position(x in 'ACGT') - 1 as bigint)) c from {p}s where len(seq) >= {K}),
+{p}u as (select id, n, unnest(range(n + {K - 1})) i, {shifted} from {p}b),
+{p}k as (select id, n, i, {f} f, {r} r from {p}u where b{K - 1} is not null),
+{p}c as (select id, n, i, least(f, r) z, cast(f > r as int) strand from {p}k),
 {_hash_sql('z', p + 'x', p + 'c')},
-{p}n as (select id, i, {p}x h, strand, count(*) over (partition by id) n from {p}x_h),
-{p}w as (select *, case when i <= n - {W} then min(h) over (partition by id order by i rows between current row and {W - 1} following) end low from {p}n),
-{p}f as (select id, min(h) m0, max_by(i, i) filter (h = m) t from (select *, min(h) over (partition by id) m from {p}n where i < {W - 1}) group by id),
-{p}g as (select a.id, f.m0, f.t, a.h <= f.m0 replaced from {p}n a join {p}f f using (id) where a.i = {W - 1}),
-{p}e as (select w.*, max(low) over (partition by id order by i rows between {W - 1} preceding and current row) top, min(h) over (partition by id) m, g.m0, g.t, coalesce(g.replaced, false) replaced from {p}w w left join {p}g g using (id)),
+{p}n as (select id, n, i, {p}x h, strand from {p}x_h),
+{p}h as (select id, min(h) m0, arg_max(i, (-h, i)) t from {p}n where i < {W - 1} group by id),
+{p}g as (select id, m0, t from {p}h join {p}n a using (id) where a.i = {W - 1} and a.h <= m0),
+{p}w as (select id, n, i, h, strand, case when i <= n - {W} then min(h) over (partition by id order by i rows between current row and {W - 1} following) end low from {p}n where n >= {W}),
+{p}e as (select *, max(low) over (partition by id order by i rows between {W - 1} preceding and current row) top from {p}w),
 {p}m as (
-  select id, cast(i + {K - 1} as int) pos, h hash, strand from (
-    select *, max(i) filter (h = m) over (partition by id) last_low from {p}e)
-  where case when n < {W} then i = last_low else (h = top or (replaced and i < {W - 1} and h = m0)) and not (replaced and i = t) end)"""
+  select e.id, cast(i + {K - 1} as int) pos, h hash, strand from {p}e e left join {p}g g on g.id = e.id and e.i < {W - 1}
+  where coalesce(h = m0 or h = top, h = top) and (t is null or i <> t)
+  union all select id, cast(max_by(i, (-h, i)) + {K - 1} as int), min(h), max_by(strand, (-h, i)) from {p}n where n < {W} group by id)"""
 
 
 @query(f"select id, translate(seq, 'ACGT', '0123') codes, reverse(translate(seq, 'ACGT', 'TGCA')) rc from ({READS})")
