@@ -102,7 +102,10 @@ def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist:
 
 
 def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, bandwidth: int = 500, min_cnt: int = 3, min_score: int = 40, gap_pen: float = 0.8 * 0.01 * 19, skip_pen: float = 0.0) -> DataFrame:
-    """Chains by dynamic programming; each read, target and strand is a group of its own, so a read's targets spread over tasks."""
+    """Chains by dynamic programming; each read, target and strand is a group of its own, so a read's targets spread over tasks.
+
+    anchors: the ends of a chain's seeds, (reference, query, span), on the strand of the chain.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["ref_pos", "query_pos"])
@@ -111,17 +114,17 @@ def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, band
         for score, path in chain_group(ref, query, span, max_dist, bandwidth, min_cnt, min_score, gap_pen, skip_pen):
             a, z = path[0], path[-1]
             q0, q1, n = query[a] + 1 - span[a], query[z] + 1, first["len"]
-            rows.append((first["id"], first["rid"], first["rev"], score, len(path), *((n - q1, n - q0) if first["rev"] else (q0, q1)), max(0, ref[a] + 1 - span[a]), ref[z] + 1))
-        return pd.DataFrame(rows, columns=["id", "rid", "rev", "score", "cnt", "qs", "qe", "rs", "re"])
+            rows.append((first["id"], first["rid"], first["rev"], score, len(path), *((n - q1, n - q0) if first["rev"] else (q0, q1)), max(0, ref[a] + 1 - span[a]), ref[z] + 1, [(int(ref[i]), int(query[i]), int(span[i])) for i in path]))
+        return pd.DataFrame(rows, columns=["id", "rid", "rev", "score", "cnt", "qs", "qe", "rs", "re", "anchors"])
 
     rows = anchors.join(lengths, "id")
     # groups of fewer than min_cnt anchors make no chain: they never reach Python
     count = F.count("*").over(Window.partitionBy("id", "rid", "rev"))
     rows = rows.withColumn("__n", count).where(F.col("__n") >= min_cnt).drop("__n")
-    return rows.groupBy("id", "rid", "rev").applyInPandas(run, f"id long, {CHAIN}")
+    return rows.groupBy("id", "rid", "rev").applyInPandas(run, f"id long, {CHAIN}, anchors array<struct<ref_pos: int, query_pos: int, span: int>>")
 
 
-def rmq_chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, gap_pen: float) -> tuple[np.ndarray, np.ndarray]:
+def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, gap_pen: float) -> tuple[np.ndarray, np.ndarray]:
     """(best score, predecessor) with costs that only depend on both ends' diagonals, so the best predecessor is a range minimum.
 
     Anchors wait in a segment tree by query position; one that lies over max_dist back on the reference has been removed.

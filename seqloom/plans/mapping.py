@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chain, seeds, select, sketch
+from ..operators import basealign, chain, seeds, select, sketch
 from ..sources import records
 from .config import MapOptions
 
@@ -81,3 +81,13 @@ class Mapping:
         block = F.greatest(F.col("qe") - F.col("qs"), F.col("re") - F.col("rs"))
         rows = self.hits(method).join(q, "id").join(t, "rid").withColumn("blen", block).withColumn("mlen", F.least("score", "blen"))
         return records.paf(rows)
+
+    def aligned(self) -> DataFrame:
+        """Hits with base-level alignments, less those whose score or matches are too few."""
+        o = self.options
+        found = basealign.align_hits(self.hits("dp"), self.reads, self.targets, o.scoring)
+        return found.where((F.col("as_") >= o.min_dp_score) & (F.col("mlen") >= o.min_chain_score))
+
+    def sam(self) -> DataFrame:
+        """(id, rank, flag, line): SAM lines of aligned hits."""
+        return records.sam(self.aligned())

@@ -222,7 +222,7 @@ def unmapped_reads(spark, sf_dir):
 
 @query()
 def dp_chain(spark, sf_dir):
-    return mapping(spark, sf_dir).chains("dp")
+    return mapping(spark, sf_dir).chains("dp").drop("anchors")
 
 
 @query()
@@ -241,6 +241,16 @@ def paf_parsed(spark, sf_dir):
     return records.parse_paf(lines).select("qname", "qlen", "qs", "qe", "strand", "tname", "tlen", "rs", "re", "matches", "blen", "mapq", F.col("tags")["cm"].alias("cm"))
 
 
+@query()
+def aligned_hits(spark, sf_dir):
+    return mapping(spark, sf_dir).aligned().drop("seq", "qual")
+
+
+@query()
+def sam_records(spark, sf_dir):
+    return mapping(spark, sf_dir).sam()
+
+
 def _neighbours(spark, sf_dir) -> DataFrame:
     t = targets(spark, sf_dir).select(F.col("rid").cast("long").alias("rid"), "seq")
     return t.join(t.select((F.col("rid") - 1).alias("rid"), F.col("seq").alias("target")), "rid").repartition(8, "rid")

@@ -164,6 +164,18 @@ def test_chain_score_is_the_best():
         assert len(places) == len(set(places))
 
 
+def test_range_minimum_predecessors_give_sound_scores():
+    r = random.Random(6)
+    for _ in range(40):
+        a = sorted({(r.randint(0, 400), r.randint(0, 400)) for _ in range(r.randint(1, 30))})
+        ref, query = (np.array([x[k] for x in a]) for k in (0, 1))
+        span = np.full(len(a), 15)
+        best, before = chain.rmq_scores(ref, query, span, 200, 0.12)
+        assert (best >= span).all() and (best <= np.array(plain_chain(ref, query, span, 200, 10**9, 0.12)) + 1e-6).all()
+        for i, j in enumerate(before):
+            assert j < 0 or (ref[j] < ref[i] and query[j] < query[i] and ref[i] - ref[j] <= 200 and query[i] - query[j] <= 200)
+
+
 def test_presets():
     assert preset("lr") is PRESETS["map-ont"] and preset("sr").k == 21 and preset("asm5").scoring.mismatch == 19
     assert abs(preset("map-ont").gap_penalty - 0.12) < 1e-9

@@ -51,6 +51,50 @@ def test_paf_has_one_primary_first(spark, sf_dir):
     assert all(("tp:A:P" in r.line) or r["rank"] > 0 for r in rows)
 
 
+def test_alignments_of_hits(spark, sf_dir):
+    seqs = {r.tname: r.seq for r in q.targets(spark, sf_dir).collect()}
+    read = {r.qname: r.seq for r in q.reads(spark, sf_dir).collect()}
+    rows = q.aligned_hits(spark, sf_dir).collect()
+    assert rows
+    for r in rows:
+        part, target = read[r.qname][r.qs : r.qe], seqs[r.tname][r.rs : r.re]
+        assert not r.rev and pairwise.score_of_cigar(r.cigar, part, target) == r.as_
+        stats = pairwise.cigar_stats(r.cigar, part, target)
+        assert (stats["nm"], stats["matches"]) == (r.nm, r.mlen)
+        best = pairwise.align(part, target)[0]
+        assert r.as_ <= best and r.as_ >= 0.98 * best
+    full = [r for r in rows if target_inside(read[r.qname], seqs[r.tname])]
+    assert full and all(r.cigar == f"{r.tlen}M" for r in full)
+    lines = q.sam_records(spark, sf_dir).collect()
+    assert len(lines) == len(rows)
+    for x in lines:
+        f = x.line.split("\t")
+        used = sum(n for n, op in pairwise.cigar_ops(f[5]) if op in "MIS=X")
+        assert f[9] == "*" or used == len(f[9])
+
+
+def target_inside(read, target):
+    return target in read
+
+
+def test_reverse_strand_is_the_mirror(spark):
+    from seqloom.plans.config import preset
+    from seqloom.plans.mapping import Mapping
+
+    import random
+
+    r = random.Random(11)
+    t = "".join(r.choice("ACGT") for _ in range(900))
+    read = t[100:400] + "ACGTTGCA" + t[410:700]
+    back = read[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = spark.createDataFrame([(1, "f", read), (2, "r", back)], "id long, qname string, seq string")
+    targets = spark.createDataFrame([(0, "t", t)], "rid long, tname string, seq string")
+    m = {x.qname: x for x in Mapping(reads, targets, preset("map-ont")).aligned().collect()}
+    assert m["f"].rev is False and m["r"].rev is True
+    assert (m["f"].rs, m["f"].re, m["f"].as_) == (m["r"].rs, m["r"].re, m["r"].as_) == (100, 700, m["f"].as_)
+    assert (m["r"].qs, m["r"].qe) == (len(read) - m["f"].qe, len(read) - m["f"].qs)
+
+
 def test_fastx_parser():
     parse = lambda t, **k: list(fastx.parse_records(iter(t.splitlines(True)), **k))
     assert parse(">a b c\r\nAC GU\r\n\r\nTT\n>x\n") == [("a", "b c", "ACGTTT", None), ("x", None, "", None)]
