@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nucleotide as nt
-from ..operators import chain, intervals, pairwise, seeds, select, sketch
+from ..operators import chain, intervals, measures, pairwise, seeds, select, sketch
 from ..session import materialize, shared_path
 from ..sources import annotations, fastx, records
 from .config import preset
@@ -109,7 +109,7 @@ def minimizer_sketch(spark, sf_dir):
     return mapping(spark, sf_dir).read_seeds.drop("ord")
 
 
-@query(f"select id, array_to_string(list_filter(string_split(seq, ''), lambda x, i: i = 1 or x <> seq[i - 1]), '') hpc from ({READS})")
+@query(f"with c as (select id, string_split(seq, '') c from ({READS})) select id, array_to_string(list_filter(c, lambda x, i: i = 1 or x <> c[i - 1]), '') hpc from c")
 def homopolymer_compress(spark, sf_dir):
     return reads(spark, sf_dir).select("id", F.regexp_replace("seq", r"(.)\1+", "$1").alias("hpc"))
 
@@ -220,6 +220,48 @@ def unmapped_reads(spark, sf_dir):
     return records.unmapped(r, mapping(spark, sf_dir).chains("greedy")).select(F.col("id").alias("doc_id"), "flag")
 
 
+@query(f"""{ANCHORS}, d as (select *, least(ref_pos - lag(ref_pos) over w, query_pos - lag(query_pos) over w) near, greatest(ref_pos - lag(ref_pos) over w, query_pos - lag(query_pos) over w) far from a window w as (partition by id, rid, rev order by ref_pos, query_pos))
+select id, rid, rev, cast(greatest(sum(coalesce(least(near, span), span)), 0) as bigint) mlen, cast(greatest(sum(coalesce(far, span)), 0) as bigint) blen from d group by id, rid, rev""")
+def match_and_block_lengths(spark, sf_dir):
+    return measures.match_and_block_lengths(mapping(spark, sf_dir).anchors, ["id", "rid", "rev"])
+
+
+@query(f"""{ANCHORS}, d as (select *, row_number() over w - 1 nth, coalesce(ref_pos - lag(ref_pos) over w <> query_pos - lag(query_pos) over w, true) fresh, query_pos - lag(query_pos) over w dq from a window w as (partition by id, rid, rev order by ref_pos, query_pos)),
+r as (select *, sum(cast(fresh as int)) over (partition by id, rid, rev order by ref_pos, query_pos) run from d),
+g as (select id, rid, rev, run, min(nth) first, count(*) anchors, sum(case when fresh then span else least(dq, span) end) gain from r group by id, rid, rev, run)
+select id, rid, rev, first, anchors from g qualify row_number() over (partition by id, rid, rev order by gain desc, first) = 1""")
+def longest_stretch(spark, sf_dir):
+    return measures.longest_stretch(mapping(spark, sf_dir).anchors, ["id", "rid", "rev"])
+
+
+@query("select l_orderkey, l_linenumber, case when v < 0 then v else greatest(cast(floor(cast(v as float) * (cast(1 as float) - cast(0.15 as float)) + cast(0.499 as float)) as int), 1) end scaled from (select l_orderkey, l_linenumber, cast(l_quantity as int) - 5 v from lineitem)")
+def alternative_scores(spark, sf_dir):
+    v = F.col("l_quantity").cast("int") - 5
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", measures.scale_alternative(v, 0.15).alias("scaled"))
+
+
+@query("select doc_id \"frag\", 0 seg, len, cast(0 as bigint) \"offset\" from (select doc_id, length(text) // 2 len, length(text) n from documents) union all select doc_id, 1, n - len, len from (select doc_id, length(text) // 2 len, length(text) n from documents)")
+def segment_offsets(spark, sf_dir):
+    """Each document as a fragment of two segments."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frag"), F.length("text").cast("long").alias("n"), F.floor(F.length("text") / 2).alias("h"))
+    return measures.segment_offsets(d.select("frag", F.lit(0).alias("seg"), F.col("h").alias("len")).unionByName(d.select("frag", F.lit(1).alias("seg"), (F.col("n") - F.col("h")).alias("len"))))
+
+
+@query(f"""{RANKED}, m as (select id frag, cast(rank % 2 as int) seg, 'b' || rid tname, rev, rs, re from k where rank < 2)
+select a.frag, a.seg, a.tname, a.rev, a.rs, a.re, case when b.tname is null or b.tname = a.tname then '=' else b.tname end rnext, coalesce(b.rs, a.rs) + 1 pnext,
+  cast(case when b.tname = a.tname then t + sign(t) else 0 end as bigint) tlen
+from (select a.*, case when b.rev then b.re - 1 else b.rs end - case when a.rev then a.re - 1 else a.rs end t from m a left join m b on a.frag = b.frag and b.seg = 1 - a.seg) a left join m b on a.frag = b.frag and b.seg = 1 - a.seg""")
+def mate_fields(spark, sf_dir):
+    """A read's two best hits as mates."""
+    top = select.rank_hits(mapping(spark, sf_dir).chains("greedy")).where("rank < 2")
+    return measures.mate_fields(top.select(F.col("id").alias("frag"), F.col("rank").alias("seg"), F.concat(F.lit("b"), "rid").alias("tname"), "rev", "rs", "re"))
+
+
+@query()
+def second_best(spark, sf_dir):
+    return measures.second_best(select.assign_parents(mapping(spark, sf_dir).chains("greedy")))
+
+
 @query()
 def dp_chain(spark, sf_dir):
     return mapping(spark, sf_dir).chains("dp").drop("anchors")
