@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nucleotide import log2_fast
+
 CHAIN = "rid long, rev boolean, score int, cnt int, qs int, qe int, rs int, re int"
 
 
@@ -38,14 +40,6 @@ def greedy_chains(anchors: DataFrame, lengths: DataFrame, max_gap: int = 5000, b
     return _bounds(rows, "__chain")
 
 
-def log2_fast(x: np.ndarray) -> np.ndarray:
-    """Quadratic approximation of log2 in single precision, by exponent and mantissa."""
-    f = np.float32
-    bits = x.astype(f).view(np.int32)
-    mantissa = ((bits & 0x007FFFFF) | 0x3F800000).astype(np.int32).view(f)
-    return ((bits >> 23) - 128).astype(f) + (f(-0.34484843) * mantissa + f(2.02466578)) * mantissa - f(0.67487759)
-
-
 def link_scores(dr: np.ndarray, dq: np.ndarray, span: np.ndarray, gap_pen: float, skip_pen: float) -> np.ndarray:
     """Gain of an anchor that follows another by dr and dq bases: new bases less the gap's and the distance's cost."""
     f = np.float32

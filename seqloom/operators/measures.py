@@ -44,6 +44,20 @@ def second_best(hits: DataFrame) -> DataFrame:
     return hits.join(below, ["id", "rank"], "left").fillna(0, ["second", "n_sub"])
 
 
+def divergence(chains: DataFrame, matched: DataFrame, lengths: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Chains with div: 1 - (seeds matched / seeds passed)^(1/k), where ends that leave room for a seed count as one more passed.
+
+    matched(id, pos): the reads' seeds that the index has. lengths(id, len); targets(rid, tlen).
+    """
+    places = matched.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("__pos"))
+    rows = chains.join(places, "id").join(lengths, "id").join(targets, "rid")
+    passed = F.size(F.filter("__pos", lambda p: (p >= F.col("qs") + k - 1) & (p < F.col("qe"))))
+    ends = F.when((F.col("qs") > k) & (F.col("rs") > k), 1).otherwise(0) + F.when((F.col("len") - F.col("qs") > k) & (F.col("tlen") - F.col("re") > k), 1).otherwise(0)
+    total = passed + ends
+    div = F.when(F.col("cnt") >= total, F.lit(0.0)).otherwise(1 - F.pow(F.col("cnt") / total, F.lit(1.0 / k)))
+    return rows.withColumn("div", div).drop("__pos", "len", "tlen")
+
+
 def segment_offsets(segments: DataFrame) -> DataFrame:
     """segments(frag, seg, len) with offset: bases of the fragment's segments before it."""
     before = Window.partitionBy("frag").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)

@@ -89,3 +89,49 @@ def mapping_quality(hits: DataFrame, repetitive: DataFrame, min_score: int = 40)
     q = F.least(by_score, by_count) * 40.0 * (1 - x) * F.log(F.col("score").cast("double"))
     mapq = F.when(root, F.least(F.greatest(F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)), F.lit(0)), F.lit(60))).otherwise(0).cast("int")
     return rows.withColumn("mapq", mapq).drop("__sum", "__second", "rep_len")
+
+
+def rescale_scores(hits: DataFrame, match: int, mismatch: int, fraction: float = 0.9) -> DataFrame:
+    """Hits(id, dp_max, qs, qe, qlen, mlen, blen, nn, gap_bases, gaps, log_gaps) with dp_max fitted to the best hit's divergence.
+
+    Only where a read's best hit covers most of it and the second comes near: then mismatches and gaps weigh by half over the divergence.
+    """
+    read = Window.partitionBy("id")
+    order = read.orderBy(F.desc("dp_max"), "rank")
+    first = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = hits.withColumn("__top", F.max("dp_max").over(read)).withColumn("__next", F.nth_value("dp_max", 2).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    events = F.col("blen") + F.col("nn") - F.col("gap_bases") + F.col("gaps")
+    rows = rows.withColumn("__identity", F.when(events > 0, F.col("mlen") / events).otherwise(0.0))
+    near = (first(F.col("qe") - F.col("qs")) >= first("qlen") * fraction) & (F.col("__next") >= F.col("__top") * fraction)
+    weight = F.lit(0.5) / F.greatest(1 - first("__identity"), F.lit(0.02))
+    weight = F.when(weight * match < mismatch, F.lit(match / mismatch)).otherwise(weight)
+    rows = rows.withColumn("__near", F.coalesce(near, F.lit(False))).withColumn("__weight", weight)
+    off = F.col("blen") + F.col("nn") - F.col("mlen") - F.col("gap_bases")
+    new = match * (F.col("mlen") - F.col("__weight") * off - (F.col("gaps") * F.col("__weight") + F.col("log_gaps"))) + 0.499
+    fitted = F.when(F.col("__near"), F.greatest(F.floor(new), F.lit(0)).cast("int")).otherwise(F.col("dp_max"))
+    return rows.withColumn("dp_max", fitted).drop("__top", "__next", "__identity", "__near", "__weight")
+
+
+def mapping_quality_aligned(hits: DataFrame, repetitive: DataFrame, match: int, min_score: int = 40) -> DataFrame:
+    """Hits(id, rank, parent, score, cnt, mlen, blen, dp_max) with mapq from chains and base-level scores."""
+    read, family = Window.partitionBy("id"), Window.partitionBy("id", "parent")
+    root = F.col("rank") == F.col("parent")
+    rows = hits.join(repetitive, "id", "left")
+    total = F.sum(F.when(root, F.col("score"))).over(read)
+    second = F.coalesce(F.max(F.when(~root, F.col("score"))).over(family), F.lit(0))
+    second_dp = F.coalesce(F.max(F.when(~root, F.col("dp_max"))).over(family), F.lit(0))
+    own_cnt = F.max(F.when(root, F.col("cnt"))).over(family)
+    rows = rows.withColumns({"__sum": total, "__second": second, "__dp2": second_dp, "__cnt": own_cnt})
+    rows = rows.withColumn("__subs", F.sum(F.when(~root & (F.col("cnt") >= F.col("__cnt")), 1).otherwise(0)).over(family))
+    unique = F.when(F.col("__sum") > 0, F.col("__sum") / (F.col("__sum") + F.coalesce("rep_len", F.lit(0)))).otherwise(F.lit(1.0))
+    sure = F.least(F.when(F.col("score") > 100, F.lit(1.0)).otherwise(0.01 * F.col("score")) * unique, F.when(F.col("cnt") > 10, F.lit(1.0)).otherwise(0.1 * F.col("cnt")))
+    identity = F.when(F.col("blen") > 0, F.col("mlen") / F.col("blen")).otherwise(1.0)
+    low = F.greatest("__second", F.lit(min_score)) / F.col("score")
+    x = F.when(F.col("__dp2") > 0, F.col("__dp2") / F.col("dp_max") * low).otherwise(low)
+    base = identity * sure * 40.0
+    size = F.log(F.col("dp_max") / F.lit(float(match)))
+    pair = F.floor(F.least(base * (1 - x * x) * size, 6.02 * identity * identity * (F.col("dp_max") - F.col("__dp2")) / match + 0.499))
+    q = F.when(F.col("__dp2") > 0, pair).otherwise(F.floor(base * (1 - x) * size)) - F.floor(4.343 * F.log(F.col("__subs") + 1.0) + 0.499)
+    q = F.least(F.greatest(q, F.lit(0)), F.lit(60))
+    q = F.when((q == 0) & (F.col("dp_max") > F.col("__dp2")), 1).otherwise(q)
+    return rows.withColumn("mapq", F.when(root & (F.col("dp_max") > 0), q).otherwise(0).cast("int")).drop("__sum", "__second", "__dp2", "__cnt", "__subs", "rep_len")

@@ -133,6 +133,16 @@ def test_cigar_tags():
     assert pairwise.md_tag("2M2D2M", "ACGT", "ACTTGT") == "2^TT2"
 
 
+def test_ds_and_segment_maximum():
+    assert pairwise.ds_tag("4M2D4M", "ACGTTTGA", "ACGTGTTTGA") == ":4-[gt]:4"
+    assert pairwise.ds_tag("3M1I3M", "ACGATTT", "ACGTTT") == ":3+a:3"
+    assert pairwise.ds_tag("3M1I3M", "ACGGTTT", "ACGTTT") == ":3+[g]:3"
+    assert pairwise.segment_max("4M", "ACGT", "ACGT") == 8
+    assert pairwise.segment_max("4M1X8M", "ACGTAACGTACGT", "ACGTCACGTACGT") == 20
+    assert pairwise.segment_max("4M", "ACGT", "TTTT") == 2 and pairwise.segment_max("", "", "") == 0
+    assert pairwise.segment_max("4M3I4M", "ACGTGGGACGT", "ACGTACGT", log_gaps=False) == 10
+
+
 def test_parents():
     qs, qe = np.array([0, 10, 200, 0]), np.array([100, 90, 300, 0])
     assert select.parents_of(qs, qe, 0.5, 2**31 - 1).tolist() == [0, 0, 2, 3]

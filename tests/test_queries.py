@@ -148,3 +148,62 @@ def test_sketch_of_unknown_bases_and_nulls(spark):
     rows = sketch(df, w=2, k=5).collect()
     assert {r.id for r in rows} == {1} and all(not (r.pos - 4 <= 12 <= r.pos) for r in rows)
     assert sketch(df.where(F.lit(False)), w=2, k=5).count() == 0
+
+
+def test_shards_map_as_the_whole_and_resume(spark, sf_dir):
+    from seqloom.operators import select
+    from seqloom.plans.stages import map_sharded
+    from seqloom.session import shared_path
+
+    t, r, folder = q.targets(spark, sf_dir), q.reads(spark, sf_dir), shared_path(spark, "stages")
+    shards = {"a": t.where("rid % 2 = 0"), "b": t.where("rid % 2 = 1")}
+    got, run = map_sharded(r, shards, q.OPTIONS, folder, q.OCC)
+    whole = q.mapping(spark, sf_dir)
+    from seqloom.operators import chain
+
+    want = select.rank_hits(chain.greedy_chains(whole.anchors, whole.lengths, q.OPTIONS.max_gap, q.OPTIONS.bandwidth))
+    cols = want.columns
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.collect())) and "ranked" in run.made
+    again, second = map_sharded(r, shards, q.OPTIONS, folder, q.OCC)
+    assert second.made == [] and again.count() == got.count()
+    with pytest.raises(ValueError):
+        map_sharded(r, shards, q.OPTIONS, folder, q.OCC + 1)
+
+
+def test_divergence_and_qualities(spark):
+    from seqloom.operators import measures, select
+
+    chains = spark.createDataFrame([(1, 0, 20, 80, 20, 80, 4), (1, 1, 0, 60, 0, 60, 2)], "id long, rid long, qs int, qe int, rs int, re int, cnt int")
+    seeds_ = spark.createDataFrame([(1, p) for p in (10, 39, 50, 60, 79, 95)], "id long, pos int")
+    n = spark.createDataFrame([(1, 100)], "id long, len int")
+    t = spark.createDataFrame([(0, 100), (1, 60)], "rid long, tlen int")
+    got = {x.rid: x.div for x in measures.divergence(chains, seeds_, n, t, 15).collect()}
+    assert got[0] == pytest.approx(1 - (4 / 6) ** (1 / 15)) and got[1] == pytest.approx(1 - (2 / 2) ** (1 / 15))
+    cols = "id long, rank int, parent int, score int, cnt int, mlen int, blen int, dp_max int, qs int, qe int, qlen int, nn int, gap_bases int, gaps int, log_gaps double"
+    hits = spark.createDataFrame([(1, 0, 0, 900, 60, 950, 1000, 1800, 0, 1000, 1000, 0, 0, 0, 0.0), (1, 1, 0, 880, 59, 930, 1000, 1750, 0, 1000, 1000, 0, 0, 0, 0.0), (2, 0, 0, 500, 40, 500, 500, 1000, 0, 500, 500, 0, 0, 0, 0.0)], cols)
+    rep = spark.createDataFrame([(1, 10)], "id long, rep_len long")
+    fit = {(x.id, x["rank"]): x.dp_max for x in select.rescale_scores(hits, 2, 4).collect()}
+    assert fit == {(1, 0): int(2 * (950 - 10 * 50) + 0.499), (1, 1): int(2 * (930 - 10 * 70) + 0.499), (2, 0): 1000}
+    mapq = {(x.id, x["rank"]): x.mapq for x in select.mapping_quality_aligned(hits, rep, 2).collect()}
+    assert mapq[2, 0] == 60 and mapq[1, 1] == 0 and mapq[1, 0] == 24
+
+
+def test_read_hash_is_of_name_and_length():
+    import numpy as np
+
+    from seqloom.operators.measures import read_hash
+
+    def wang(x):
+        m = 0xFFFFFFFF
+        x = (x + (~(x << 15) & m)) & m
+        x ^= x >> 10
+        x = (x + (x << 3)) & m
+        x ^= x >> 6
+        x = (x + (~(x << 11) & m)) & m
+        return x ^ (x >> 16)
+
+    name, n = "read/1", 1234
+    h = ord(name[0])
+    for c in name[1:]:
+        h = (31 * h + ord(c)) & 0xFFFFFFFF
+    assert read_hash([name, None], np.array([n, n])).tolist() == [wang(h ^ ((wang(n) + wang(11)) & 0xFFFFFFFF)), wang((wang(n) + wang(11)) & 0xFFFFFFFF)]
