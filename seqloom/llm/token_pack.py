@@ -158,7 +158,7 @@ class PieceEncoder:
         if len(self.known) >= REMEMBERED:
             self.known = {"": b""}
         known = self.known
-        if new := list({c for pair in parts.values() for c in pair} - known.keys()):
+        if new := list({c for pair in parts.values() for c in pair}.difference(known)):
             known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
         self.seen.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
@@ -170,7 +170,7 @@ class PieceEncoder:
             try:
                 ids = b"".join(map(self.seen.__getitem__, pieces))
             except KeyError:
-                self._learn(set(pieces) - self.seen.keys())
+                self._learn(set(pieces).difference(self.seen))
                 ids = b"".join(map(self.seen.__getitem__, pieces))
             yield np.frombuffer(ids, self.kind)
 
