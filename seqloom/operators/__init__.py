@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators: sketches, seeds, chains, ranking, alignment, intervals."""

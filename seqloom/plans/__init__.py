@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Parameters, the mapping plan, resumable stages, and the queries."""

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nucleotide as nt
-from ..operators import chain, intervals, measures, pairwise, seeds, select, sketch
-from ..session import materialize, shared_path
+from ..operators import intervals, measures, pairwise, seeds, select, sketch
+from ..session import shared_path
 from ..sources import annotations, fastx, records
+from ..streaming import reads as streams
 from .config import preset
 from .mapping import Mapping
 
@@ -376,6 +377,16 @@ def fastx_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(f"{RANKED} select * exclude (rank) from k where rank = 0")
+def stream_map(spark, sf_dir):
+    """Reads that arrive as FASTA files, each batch mapped to its best target."""
+    path, out = shared_path(spark, "map-in"), shared_path(spark, "map-out")
+    fastx.write_fasta(reads(spark, sf_dir).where("seq <> ''").select(F.col("qname").alias("name"), "seq"), path)
+    arriving = fastx.stream_fastx(spark, path).select(F.substring("name", 2, 20).cast("long").alias("id"), "seq")
+    streams.map_stream(arriving, targets(spark, sf_dir), OPTIONS, OCC, out, out + "-checkpoint").awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 BED = "select 'c' || (l_partkey % 7) contig, cast(l_orderkey as int) st, cast(l_orderkey + 100 as int) en, cast(l_linenumber as int) score, case when l_linenumber % 2 = 0 then '+' else '-' end strand from lineitem"
 
 
@@ -391,6 +402,3 @@ def junction_introns(spark, sf_dir):
 @query("with c as (select length(text) n from documents) select count(*) reads, cast(sum(n) as bigint) bases, max(n) longest from c")
 def run_summary(spark, sf_dir):
     return _table(spark, sf_dir, "documents").agg(F.count("*").alias("reads"), F.sum(F.length("text")).alias("bases"), F.max(F.length("text")).cast("long").alias("longest"))
-
-
-__all__ = ["QUERIES", "SQL", "chain", "materialize"]

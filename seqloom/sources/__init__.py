@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Files in and out: sequences, annotations, records."""
