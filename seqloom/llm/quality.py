@@ -139,3 +139,38 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def query(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The query in SQL, from the same parameters."""
+    gap = r"[\x20\x09-\x0D]"
+    symbols = "[" + "".join("\\" + c for c in SYMBOLS) + "]"
+    ladder = ", ".join(f"('{r}', {i}, {c})" for r, cuts in LADDERS.items() for i, c in enumerate(cuts))
+    per = lambda a, b, k: f"case when {b} > 0 then {a} * {k} // {b} else 0 end"
+    p = RISK / len(LADDERS)
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}::double) + (n - i) * ln(1 - {p}::double))"
+    return f"""
+with d as (select row_number() over () r, doc_id, lang, coalesce(text, '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '{gap}+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from d),
+win as (select r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') s from (select r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) i from w where len(ws) >= {WINDOW})),
+dup as (select r, i from (select r, i, count(*) over (partition by r, s) c from win) where c > 1),
+cov as (select r, count(distinct i + j) n from dup, range({WINDOW}) g(j) group by r),
+c as (
+  select w.r, doc_id, lang, len(ws) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars, cast(length(t) - length(regexp_replace(t, '{symbols}', '', 'g')) as bigint) n_symbols,
+    len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(cov.n, 0) n_repeat_words
+  from w left join cov using (r)),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed,
+    {per("n_symbols", "word_chars", 1000)} symbol_rate, {per("n_dup_lines", "n_lines", 1000)} dup_line_rate, {per("n_repeat_words", "n_words", 1000)} repeat_rate, {per("word_chars", "n_words", 100)} long_words, -({per("word_chars", "n_words", 100)}) short_words from c),
+u as (unpivot (select r, lang, base_failed, {", ".join(f"cast({x} as bigint) {x}" for x in LADDERS)} from b) on {", ".join(LADDERS)} into name rate value v),
+ladder(rate, step, cutoff) as (values {ladder}),
+good as (select doc_id from labels group by doc_id having min(quality) = 1),
+held as (select r, lang from b where not base_failed and doc_id in (select doc_id from good)),
+n as (select lang, count(*) n, count(*) over () strata from held group by lang),
+k as (select u.lang, rate, step, cutoff, count(*) filter (v > cutoff) k from u join ladder using (rate) where r in (select r from held) group by all),
+tests as (select k.*, case when k >= n * {p} then 1.0 else list_sum(list_transform(range(k + 1), lambda i: {term})) end <= {DELTA}::double / (strata * {sum(map(len, LADDERS.values()))}) passes from k join n on k.lang is not distinct from n.lang),
+cut as (select lang, rate, arg_min(cutoff, step) cutoff from tests where passes group by lang, rate),
+over_ as (select distinct r from u join cut on u.rate = cut.rate and u.lang is not distinct from cut.lang where v > cutoff)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from over_) kept from b"""
+
+
+SQL = _sql()
