@@ -38,7 +38,8 @@ BLOCK = 8192
 DOCS_A_FILE = 8192
 MAGIC = b"SEQLTOK1"
 TRAILER = struct.Struct("<IIQQQQI")  # bits, block, documents, ids, blocks, footer's place, footer's crc32
-REMEMBERED = 400_000
+#: Pieces, and pieces less their last marks, that a worker remembers.
+PIECES, CORES = 250_000, 1_000_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -155,7 +156,7 @@ class PieceEncoder:
         for p in pieces:
             core = p.rstrip(".,;:!?")
             parts[p] = (core.lower(), p[len(core) :]) if core.isascii() and core[-1:].isalpha() and "<|" not in p else (p, "")
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= CORES:
             self.known = {"": b""}
         known = self.known
         if new := list({c for pair in parts.values() for c in pair}.difference(known)):
@@ -163,7 +164,7 @@ class PieceEncoder:
         self.seen.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.seen) >= REMEMBERED:
+        if len(self.seen) >= PIECES:
             self.seen = {"": b""}
         for text in texts:
             pieces = text.replace("\n", " ").split(" ")
