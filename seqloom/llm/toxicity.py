@@ -1,6 +1,6 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and the context of each hit.
 
-The lexicon holds words and stems (a stem fits every word that begins with it). A few seed terms are fixed; the rest is
+The lexicon holds words and stems (a stem fits every longer word that begins with it). A few seed terms are fixed; the rest is
 learned from labelled documents by a likelihood-ratio test with a Bonferroni-like level. Words are matched within one edit
 (from 5 letters) or two (from 9). The trie's nodes with their edits so far are the states of a nondeterministic automaton;
 its deterministic form is built lazily, state by state, so a word that resembles no term dies within a few letters.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, materialize, small_batches, table, without
+from .common import WORD_GAP, crc_of_id, materialize, small_batches, table, without
 
 #: Fixed seed terms, fixed verbs of saying and fixed forms of address.
 SEEDS = "idiot moron stupid pathetic worthless disgusting loser scum trash clown imbecile bastard".split()
@@ -40,7 +40,7 @@ MIN_DOCS = 4
 MAX_TERMS = 2_000
 REMEMBERED = 400_000
 #: Lengths of stems.
-STEMS = (3, 4, 5, 6, 7)
+STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -98,13 +98,13 @@ class TrieAutomaton:
             if node < 0:
                 out.add((node, 0))
                 continue
+            if e == 0 and node in self.stem_at:
+                out.add((-1 - self.stem_at[node], 0))
             if e < self.most[node]:
                 out.add((node, e + 1))
             for letter, child in self.children[node].items():
                 if letter == c:
                     out.add((child, e))
-                    if e == 0 and child in self.stem_at:
-                        out.add((-1 - self.stem_at[child], 0))
                 elif e < self.most[child]:
                     out.add((child, e + 1))
         return self._intern(out)
@@ -158,7 +158,7 @@ class Model:
             self._hits[token] = hit
 
     def features(self, text: str) -> list[float]:
-        """Of hits: weight in address or plain, weight in quotation, weight of near spellings, different terms, share of words, addressed."""
+        """Weights of hits: terms outside quotation, any in quotation, near spellings; then of the first kind: different terms, share of words, hits in address."""
         self._ready()
         tokens = text.lower().split()
         different = set(tokens)
@@ -185,9 +185,9 @@ class Model:
                 near += w / edits
             else:
                 plain += w
-            addressed += not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
-            terms.add(term)
-            hits += 1
+                addressed += not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
+                terms.add(term)
+                hits += 1
         return [math.log1p(plain), math.log1p(quoted), math.log1p(near), math.log1p(len(terms)), math.log1p(100 * hits / len(tokens)), math.log1p(addressed)]
 
     def score(self, text: str) -> float:
@@ -283,7 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     marked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(share * 2**32)).withColumnRenamed("doc_id", "__id")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     # about sample_rows rows of two numbers
-    sample = materialize(docs.join(F.broadcast(marked), F.col(id_col) == F.col("__id")).select(text, "toxic"), "toxic-sample")
+    sample = docs.join(F.broadcast(marked), F.col(id_col) == F.col("__id")).select(text, "toxic")
+    # of near copies one stays, told by the least hashes of their words: else a copied document's words would all look toxic
+    words = F.split(F.lower("text"), WORD_GAP)
+    least = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"__k{k}") for k in range(2)]
+    sample = materialize(sample.select("*", *least).dropDuplicates(["toxic", "__k0", "__k1"]).select("text", "toxic"), "toxic-sample")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
