@@ -82,7 +82,11 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     again = equal.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
     id_, sha = F.col(f"`{id_col}`"), F.sha2(_norm(text_col), 256)
     match = id_.eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    out = df.join(gone, match, "left_anti")
+    # most rows are not in the filter of those that go, which has a bounded size, and pass by the join
+    key = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit("/"), h)
+    words, blocks = bloom.build(gone.select(key(F.col("__id"), F.col("__sha")).alias("key")), "key", bloom.BROADCAST_BLOCKS)
+    probed = bloom.probe(df, key(id_, sha), words, blocks)
+    out = probed.where(~F.col("__possible")).drop("__possible").unionByName(probed.where("__possible").drop("__possible").join(gone, match, "left_anti"))
     if again.isEmpty():
         return out
     repeated = out.join(again, match, "left_semi")
