@@ -5,7 +5,8 @@ a linked list of parts. Two levels of bitmaps say which buckets have entries (a
 64 ranks), so find-first-set gives the next rank to merge. Entries whose parts have changed since are skipped
 when they come up. A pre-token of n bytes needs at most 2n entries, so very long pre-tokens take no quadratic time.
 
-A bucket's positions are taken from left to right: pairs of one rank that overlap merge as the leftmost first.
+A merge never adds to its own bucket, so a bucket is taken out whole and read from left to right, unless one of its merges brings
+up a lower rank: then the rest of it goes back.
 
 Texts are cut before single spaces, pieces of text that recur are encoded once in each worker and kept in a bounded table. Null texts
 count as empty and have no tokens. Encoding has no special tokens. Decoding gives back bytes; ids that are not in the
@@ -15,7 +16,6 @@ ranks raise.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,44 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, without
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Texts' pieces that a worker remembers.
-REMEMBERED = 400_000
-
-
-class RankQueue:
-    """Buckets of positions by rank, under two levels of bitmaps."""
-
-    __slots__ = ("buckets", "words", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            w = rank >> 6
-            self.words[w] = self.words.get(w, 0) | 1 << (rank & 63)
-            self.top |= 1 << w
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position) of the least rank, leftmost first. The queue must not be empty."""
-        w = (self.top & -self.top).bit_length() - 1
-        word = self.words[w]
-        bit = word & -word
-        rank = (w << 6) + bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[w] = word ^ bit
-            if word == bit:
-                self.top ^= 1 << w
-        return rank, position
+#: Pieces of text, and pre-tokens, that a worker remembers.
+PIECES, PRE_TOKENS = 250_000, 700_000
 
 
 class Bpe:
@@ -74,46 +38,78 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
+    def merge(self, piece: bytes) -> list[bytes]:
+        """Tokens of one pre-token."""
+        rank_of = self.ranks.get
+        if rank_of(piece) is not None:
+            return [piece]
         n = len(piece)
         after = list(range(1, n + 1))  # after[i]: where the part that begins at i ends; -1 once it is merged away
         before = list(range(-1, n))
-        queue = RankQueue()
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}  # a bit for each rank that has a bucket
+        top = 0  # a bit for each word that has a bit
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = rank_of(piece[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
-            j = after[i]
-            if j < 0 or j >= n:
-                continue
-            k = after[j]
-            if ranks.get(piece[i:k]) != rank:
-                continue  # stale
-            after[i], after[j] = k, -1
-            if k < n:
-                before[k] = i
-                rank = ranks.get(piece[i : after[k]])
-                if rank is not None:
-                    queue.push(rank, i)
-            p = before[i]
-            if p >= 0:
-                rank = ranks.get(piece[p:k])
-                if rank is not None:
-                    queue.push(rank, p)
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    w = rank >> 6
+                    words[w] = words.get(w, 0) | 1 << (rank & 63)
+                    top |= 1 << w
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            bit = word & -word
+            now = (w << 6) + bit.bit_length() - 1
+            bucket = buckets.pop(now)
+            words[w] = word ^ bit
+            if word == bit:
+                top ^= 1 << w
+            if len(bucket) > 1:
+                bucket.sort()
+            for at, i in enumerate(bucket):
+                j = after[i]
+                if j < 0 or j >= n:
+                    continue
+                k = after[j]
+                if rank_of(piece[i:k]) != now:
+                    continue  # stale
+                after[i], after[j] = k, -1
+                least = now
+                p = before[i]
+                if k < n:
+                    before[k] = i
+                    pairs = ((p, k), (i, after[k])) if p >= 0 else ((i, after[k]),)
+                else:
+                    pairs = ((p, k),) if p >= 0 else ()
+                for q, end in pairs:
+                    rank = rank_of(piece[q:end])
+                    if rank is not None:
+                        if rank in buckets:
+                            buckets[rank].append(q)
+                        else:
+                            buckets[rank] = [q]
+                            v = rank >> 6
+                            words[v] = words.get(v, 0) | 1 << (rank & 63)
+                            top |= 1 << v
+                        if rank < least:
+                            least = rank
+                if least < now and at + 1 < len(bucket):  # a lower rank has come up: it goes before the rest of this bucket
+                    buckets[now] = bucket[at + 1 :]
+                    words[w] = words.get(w, 0) | bit
+                    top |= 1 << w
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(piece[i : after[i]])
             i = after[i]
         return out
 
@@ -122,9 +118,9 @@ class Bpe:
         for p in self.split(text):
             ids = known.get(p)
             if ids is None:
-                ids = b"".join([i.to_bytes(4, "little") for i in self.merge(p.encode())])
+                ids = b"".join([self.packed[t] for t in self.merge(p.encode())])
                 if len(p) <= 64:
-                    if len(known) >= REMEMBERED:
+                    if len(known) >= PRE_TOKENS:
                         known.clear()
                     known[p] = ids
             out.append(ids)
@@ -137,7 +133,7 @@ class Bpe:
             return b"".join(map(seen.__getitem__, pieces))
         except KeyError:
             pass
-        if len(seen) >= REMEMBERED:
+        if len(seen) >= PIECES:
             seen.clear()
         new = {p: self._encode_piece(p) for p in set(pieces) if p not in seen}
         out = b"".join([seen[p] if p in seen else new[p] for p in pieces])

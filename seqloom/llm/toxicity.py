@@ -38,7 +38,7 @@ SAMPLE_ROWS = 20_000
 WINDOW = 6
 MIN_DOCS = 4
 MAX_TERMS = 2_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
