@@ -1,8 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and the context of each hit.
 
-The lexicon holds words and stems (a stem fits every longer word that begins with it). A few seed terms are fixed; the rest is
-learned from labelled documents by a likelihood-ratio test with a Bonferroni-like level. Words are matched within one edit
-(from 5 letters) or two (from 9). The trie's nodes with their edits so far are the states of a nondeterministic automaton;
+The lexicon holds words and stems (a stem fits every longer word that begins with it; words stay in the lexicon beside their stem). A few seed terms are fixed; the rest is
+learned from labelled documents by a likelihood-ratio test with a Bonferroni-like level. Words, and the beginnings
+that stems ask for, are matched within one edit (from 5 letters) or two (from 9). The trie's nodes with their edits so far are the states of a nondeterministic automaton;
 its deterministic form is built lazily, state by state, so a word that resembles no term dies within a few letters.
 Near spellings that occur in clean labelled documents are taken for words of their own.
 
@@ -44,15 +44,19 @@ STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def edits_allowed(term: str) -> int:
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
+
 class TrieAutomaton:
     """Lexicon trie x Levenshtein automaton, made deterministic on demand."""
 
-    def __init__(self, words: list[str], stems: list[str]) -> None:
+    def __init__(self, words: list[str], stems: list[str], edit_stems: bool = False) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.most = [0]  # edits allowed to any term below a node
         self.word_at: dict[int, int] = {}
         self.stem_at: dict[int, int] = {}
-        self.allowed = [0 if len(w) < 5 else 1 if len(w) < 9 else 2 for w in words] + [0] * len(stems)
+        self.allowed = [edits_allowed(w) for w in words] + [edits_allowed(s) if edit_stems else 0 for s in stems]
         for n, term in enumerate([*words, *stems]):
             at = 0
             self.most[0] = max(self.most[0], self.allowed[n])
@@ -73,7 +77,7 @@ class TrieAutomaton:
         self._intern({(0, 0)})
 
     def _intern(self, positions: set[tuple[int, int]]) -> int:
-        """Closes over letters that the text leaves out; (-1 - term, 0) says that a stem has been read."""
+        """Closes over letters that the text leaves out; (-1 - term, e) says that a stem has been read with e edits."""
         todo = list(positions)
         while todo:
             node, e = todo.pop()
@@ -96,10 +100,10 @@ class TrieAutomaton:
         out: set[tuple[int, int]] = set()
         for node, e in self.states[state]:
             if node < 0:
-                out.add((node, 0))
+                out.add((node, e))
                 continue
-            if e == 0 and node in self.stem_at:
-                out.add((-1 - self.stem_at[node], 0))
+            if node in self.stem_at and e <= self.allowed[self.stem_at[node]]:
+                out.add((-1 - self.stem_at[node], e))
             if e < self.most[node]:
                 out.add((node, e + 1))
             for letter, child in self.children[node].items():
@@ -122,7 +126,7 @@ class TrieAutomaton:
             if not self.states[state]:
                 return None
         found = [(e, self.word_at[n]) for n, e in self.states[state] if n in self.word_at and e <= self.allowed[self.word_at[n]]]
-        found += [(0, -1 - n) for n, _ in self.states[state] if n < 0]
+        found += [(e, -1 - n) for n, e in self.states[state] if n < 0]
         return min(found)[::-1] if found else None
 
 
@@ -143,7 +147,7 @@ class Model:
 
     def _ready(self) -> None:
         if "_automaton" not in self.__dict__:
-            self._automaton = TrieAutomaton(self.words, self.stems)
+            self._automaton = TrieAutomaton(self.words, self.stems, edit_stems=True)
             self._clean: set[str] = set()
             self._hits: dict[str, tuple[int, int]] = {}
 
@@ -236,17 +240,16 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
         if k[-1] != "*":
             for n in STEMS:
                 longest[k[:n]] = max(p, longest.get(k[:n], 0))
-    words, stems = [], []
+    words, stems, under = [], [], 0
     for g, _, k, p in good[: 4 * MAX_TERMS]:
-        if g < level or len(words) + len(stems) >= MAX_TERMS:
+        if g < level or len(words) - under + len(stems) >= MAX_TERMS:
             break
-        if any(k.startswith(s) for s in stems):
-            continue
-        if k[-1] != "*":
+        above = any(k.startswith(s) for s in stems)
+        if k[-1] != "*":  # beside a stem too, which does not fit the word that equals it and allows fewer edits; such words take no other term's place
             words.append(k)
-        elif p > 1.3 * longest.get(k[:-1], 0):
+            under += above
+        elif not above and p > 1.3 * longest.get(k[:-1], 0):
             stems.append(k[:-1])
-    words = [w for w in words if not any(w.startswith(s) for s in stems)]
     return words, stems, weight
 
 
@@ -296,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     strong = counts.where((F.col("pos") >= MIN_DOCS) & (F.col("pos") * n_neg > 5 * F.col("neg") * n_pos) | F.col("key").isin(SEEDS))
     found = [tuple(r) for r in strong.orderBy(F.desc("pos"), "key").limit(25 * MAX_TERMS).collect()]
     words, stems, weight = choose_terms(found, n_pos, n_neg)
-    words = [*dict.fromkeys([*words, *(s for s in SEEDS if weight.get(s, 1) > 0 and not any(s.startswith(t) for t in stems))])]
+    words = [*dict.fromkeys([*words, *(s for s in SEEDS if weight.get(s, 1) > 0)])]
     model = Model(words, stems, [max(0.5, weight.get(k, 3.0)) for k in [*words, *(s + "*" for s in stems)]])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

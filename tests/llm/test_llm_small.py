@@ -312,6 +312,39 @@ def test_toxicity_learns_terms_and_reads_context(spark, empty):
     assert toxicity.score(empty, plain).count() == 0
 
 
+def test_stems_keep_words_and_seeds_and_edits():
+    counts = [("scum", 30, 0), ("scumbag", 30, 0), ("scummy", 30, 0), ("scum*", 60, 0)]
+    words, stems, _ = toxicity.choose_terms(counts, 100, 1000)
+    assert stems == ["scum"] and set(words) == {"scum", "scumbag", "scummy"}
+    model = toxicity.Model(words, stems, [3.0] * 4)
+    assert all(model.score(f"you are {w} here") > model.score("nothing here") for w in ["scum", "scumbag", "scumbags", "scunbag"])
+    stems = ["zorkas", "flim", "grumblers"]
+    a = toxicity.TrieAutomaton([], stems, edit_stems=True)
+    r = random.Random(11)
+    for _ in range(2000):
+        w = list(r.choice(["zorkasito", "zorkas", "flimsy", "grumblersome", "house"]))
+        for _ in range(r.randint(0, 3)):
+            i = r.randint(0, len(w))
+            w[i : i + r.randint(0, 1)] = r.choice(["", "a", "s", "o"])
+        w = "".join(w)
+        near = [e for s, n in zip(stems, [1, 0, 2], strict=True) for i in range(len(w)) if (e := edits(w[:i], s)) <= n]
+        got = a.match(w)
+        assert (got[1] if got else None) == (min(near) if near else None), w
+
+
+def test_seed_stays_beside_its_stem(spark):
+    rows, labels = [], []
+    for i in range(400):
+        t = prose(40, i)
+        if i % 4 == 0:
+            t += " " + ["scumbag", "scummy", "scumlike"][i % 3]
+        rows.append((i, t, "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("scum".startswith(s) for s in model.stems) and "scum" in model.words
+    assert model.score(prose(40, 1) + " scum") > model.score(prose(40, 1))
+
+
 # language
 
 
