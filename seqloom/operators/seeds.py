@@ -71,6 +71,17 @@ def select_seeds(matched: DataFrame, lengths: DataFrame, max_occ: int, max_max_o
     return rows.drop("__run", "__before", "__after", "len")
 
 
+def choose_seeds(read_seeds: DataFrame, counts: DataFrame, lengths: DataFrame, mid_occ: int, max_occ: int, distance: int) -> DataFrame:
+    """The reads' seeds that targets have, with occ and kept: those of at most mid_occ occurrences, and of the others what select_seeds keeps.
+
+    counts(hash, occ) are the targets'. Without a distance, or with max_occ not above mid_occ, none of the others stays.
+    """
+    matched = read_seeds.join(counts, "hash")
+    if distance > 0 and max_occ > mid_occ:
+        return select_seeds(matched, lengths, mid_occ, max_occ, distance)
+    return matched.withColumn("kept", F.col("occ") <= mid_occ)
+
+
 def repetitive_length(dropped: DataFrame) -> DataFrame:
     """(id, rep_len): bases under seeds(id, pos, span) that were dropped for their frequency; a seed that only touches the last joins it."""
     start, end = F.col("pos") + 1 - F.col("span"), F.col("pos") + 1

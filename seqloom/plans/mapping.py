@@ -17,7 +17,8 @@ from .config import MapOptions
 class Mapping:
     """Reads (id long, qname, seq) mapped to targets (rid long, tname, seq). Each stage is a DataFrame; nothing runs until one is asked for.
 
-    occ_limit: occurrences above which a seed is not used; otherwise it follows from the targets' seeds, by one small job.
+    occ_limit: occurrences above which a seed is not used. Without it a cut-off follows from the targets' seeds, by one small job, and of each
+    run of seeds above it the rarest are used, one for each occ_distance bases, none of over max_occ occurrences.
     """
 
     reads: DataFrame
@@ -52,9 +53,18 @@ class Mapping:
             return self.occ_limit
         return seeds.mid_occ(seeds.occurrences(self.target_seeds), o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).first()["mid_occ"]
 
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """The reads' seeds that targets have, with occ and kept."""
+        o = self.options
+        distance = o.occ_distance if self.occ_limit is None else 0
+        return seeds.choose_seeds(self.read_seeds, seeds.occurrences(self.target_seeds), self.lengths, self.most, o.max_occ, distance)
+
     @cached_property
     def anchors(self) -> DataFrame:
-        return seeds.anchors(self.read_seeds, self.index, self.lengths, self.most)
+        if self.occ_limit is not None:
+            return seeds.anchors(self.read_seeds, self.index, self.lengths, self.most)
+        return seeds.anchors(self.chosen.where("kept").drop("occ", "kept"), self.index, self.lengths, max(self.most, self.options.max_occ))
 
     def chains(self, method: str = "dp") -> DataFrame:
         o = self.options
@@ -65,8 +75,7 @@ class Mapping:
 
     @cached_property
     def repetitive(self) -> DataFrame:
-        often = seeds.occurrences(self.target_seeds).where(F.col("occ") > self.most)
-        return seeds.repetitive_length(self.read_seeds.join(often, "hash"))
+        return seeds.repetitive_length(self.chosen.where(~F.col("kept")))
 
     def hits(self, method: str = "dp") -> DataFrame:
         """Primary and secondary hits with parents and mapping quality."""

@@ -35,8 +35,9 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rid"), F.concat(F.lit("b"), "item_id").alias("tname"), nt.dna_of_text(F.col("text")).alias("seq"))
 
 
-def mapping(spark: SparkSession, sf_dir: str) -> Mapping:
-    return Mapping(reads(spark, sf_dir), targets(spark, sf_dir), OPTIONS, OCC)
+def mapping(spark: SparkSession, sf_dir: str, occ_limit: int | None = OCC) -> Mapping:
+    """With the fixed limit that the SQL has, or with None by the targets' own cut-off and the choice among frequent seeds."""
+    return Mapping(reads(spark, sf_dir), targets(spark, sf_dir), OPTIONS, occ_limit)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,38 +261,38 @@ def mate_fields(spark, sf_dir):
 
 @query()
 def second_best(spark, sf_dir):
-    return measures.second_best(select.assign_parents(mapping(spark, sf_dir).chains("greedy")))
+    return measures.second_best(select.assign_parents(mapping(spark, sf_dir, None).chains("greedy")))
 
 
 @query()
 def dp_chain(spark, sf_dir):
-    return mapping(spark, sf_dir).chains("dp").drop("anchors")
+    return mapping(spark, sf_dir, None).chains("dp").drop("anchors")
 
 
 @query()
 def parent_assignment(spark, sf_dir):
-    return select.assign_parents(mapping(spark, sf_dir).chains("greedy"))
+    return select.assign_parents(mapping(spark, sf_dir, None).chains("greedy"))
 
 
 @query()
 def paf_records(spark, sf_dir):
-    return mapping(spark, sf_dir).paf("dp")
+    return mapping(spark, sf_dir, None).paf("dp")
 
 
 @query()
 def paf_parsed(spark, sf_dir):
-    lines = mapping(spark, sf_dir).paf("greedy").select("line")
+    lines = mapping(spark, sf_dir, None).paf("greedy").select("line")
     return records.parse_paf(lines).select("qname", "qlen", "qs", "qe", "strand", "tname", "tlen", "rs", "re", "matches", "blen", "mapq", F.col("tags")["cm"].alias("cm"))
 
 
 @query()
 def aligned_hits(spark, sf_dir):
-    return mapping(spark, sf_dir).aligned().drop("seq", "qual")
+    return mapping(spark, sf_dir, None).aligned().drop("seq", "qual")
 
 
 @query()
 def sam_records(spark, sf_dir):
-    return mapping(spark, sf_dir).sam()
+    return mapping(spark, sf_dir, None).sam()
 
 
 def _neighbours(spark, sf_dir) -> DataFrame:

@@ -15,15 +15,24 @@ from ..plans.config import MapOptions
 from ..session import materialize
 
 
-def map_stream(reads: DataFrame, targets: DataFrame, options: MapOptions, occ_limit: int, out: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that writes the best hit of each read of the stream reads(id, seq) under out, as Parquet by batch."""
+def map_stream(reads: DataFrame, targets: DataFrame, options: MapOptions, occ_limit: int | None, out: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that writes the best hit of each read of the stream reads(id, seq) under out, as Parquet by batch.
+
+    occ_limit is Mapping's: without it the targets' seeds give the cut-off, and of frequent seeds the rarest are used.
+    """
     kind = "hpc" if options.hpc else "minimizer"
-    index = materialize(seeds.build_index(sketch.sketch(targets, kind, id_col="rid", w=options.w, k=options.k), occ_limit), "stream-index")
+    o = options
+    index = materialize(seeds.build_index(sketch.sketch(targets, kind, id_col="rid", w=o.w, k=o.k), occ_limit), "stream-index")
+    counts = index.select("hash", "occ").distinct()
+    most = occ_limit if occ_limit is not None else seeds.mid_occ(counts, o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).first()["mid_occ"]
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         lengths = rows.select("id", F.length("seq").alias("len"))
-        found = seeds.anchors(sketch.sketch(rows, kind, w=options.w, k=options.k), index, lengths, occ_limit)
+        found = sketch.sketch(rows, kind, w=o.w, k=o.k)
+        if occ_limit is None:
+            found = seeds.choose_seeds(found, counts, lengths, most, o.max_occ, o.occ_distance).where("kept").drop("occ", "kept")
+        found = seeds.anchors(found, index, lengths, most if occ_limit is not None else max(most, o.max_occ))
         chains = chain.greedy_chains(found, lengths, options.max_gap, options.bandwidth)
         chains = chains.where((F.col("score") >= options.min_chain_score) & (F.col("cnt") >= options.min_cnt))
         select.best_hit(chains).write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -95,6 +95,37 @@ def test_reverse_strand_is_the_mirror(spark):
     assert (m["r"].qs, m["r"].qe) == (len(read) - m["f"].qe, len(read) - m["f"].qs)
 
 
+def test_passages_that_many_targets_share(spark, tmp_path):
+    import random
+    import string
+    from dataclasses import replace
+
+    from seqloom.plans.mapping import Mapping
+    from seqloom.streaming import reads as streams
+
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice(string.printable[:94]) for _ in range(n))
+    shared = text(1500)
+    spark.createDataFrame([(1, shared)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, text(30) + shared) for i in range(12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {x.rid for x in q.dp_chain(spark, str(tmp_path)).collect()} == set(range(12))
+    assert q.paf_records(spark, str(tmp_path)).count() and q.aligned_hits(spark, str(tmp_path)).count()
+
+    # all of the read's seeds are above the cut-off here: the rarest few are used
+    options = replace(q.OPTIONS, mid_occ_fraction=0.9)
+    m = Mapping(q.reads(spark, str(tmp_path)), q.targets(spark, str(tmp_path)), options)
+    assert m.most == 10 and m.anchors.count() == 12 * 6
+    assert {x.rid for x in m.chains("greedy").collect()} == set(range(12))
+    assert 0 < m.repetitive.first()["rep_len"] < 3000
+    assert Mapping(m.reads, m.targets, replace(options, occ_distance=0)).anchors.count() == 0
+    assert Mapping(m.reads, m.targets, replace(options, max_occ=11)).anchors.count() == 0
+    out = str(tmp_path / "out")
+    fastx.write_fasta(m.reads.select(F.col("id").cast("string").alias("name"), "seq"), str(tmp_path / "in"))
+    arriving = fastx.stream_fastx(spark, str(tmp_path / "in")).select(F.col("name").cast("long").alias("id"), "seq")
+    streams.map_stream(arriving, m.targets, options, None, out, out + "-checkpoint").awaitTermination()
+    assert [x.id for x in spark.read.parquet(out).collect()] == [1]
+
+
 def test_fastx_parser():
     parse = lambda t, **k: list(fastx.parse_records(iter(t.splitlines(True)), **k))
     assert parse(">a b c\r\nAC GU\r\n\r\nTT\n>x\n") == [("a", "b c", "ACGTTT", None), ("x", None, "", None)]
