@@ -10,7 +10,8 @@ Around each hit a window of words tells quotation (quotation marks around it, or
 Sums over the document's hits go into a logistic regression. Texts without hits, null and empty texts among them, get its value
 at zero. Repeated rows are scored one by one. With no labels of both kinds, fixed weights of the seed terms are used.
 
-Learning uses about SAMPLE_ROWS labelled rows, chosen by a hash of the id; an id with several labels counts as toxic if one says so.
+Learning uses about SAMPLE_ROWS labelled rows, chosen by a hash of the id, less near copies: rows of one label that share their first
+two min-hashes and three quarters of SKETCH. An id with several labels counts as toxic if one says so.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WINDOW = 6
 MIN_DOCS = 4
 MAX_TERMS = 2_000
 REMEMBERED = 200_000
+#: Min-hashes of a text's words.
+SKETCH = 16
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -276,6 +279,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def near_copies(rows: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """Those of the different (label, sketch) that share the first two hashes and three quarters of all with an earlier one, in order, that stays."""
+    groups: dict[tuple[int, int, int], list[list[int]]] = {}
+    for toxic, m in sorted(rows):
+        groups.setdefault((toxic, m[0], m[1]), []).append(m)
+    out = []
+    for (toxic, _, _), sketches in groups.items():
+        if len(sketches) > 1:
+            stay, n = np.empty((len(sketches), SKETCH), np.int64), 0
+            for m in sketches:
+                if n and (4 * (stay[:n] == np.array(m, np.int64)).sum(1) >= 3 * SKETCH).any():
+                    out.append((toxic, m))
+                else:
+                    stay[n] = m
+                    n += 1
+    return out
+
+
+def less_near_copies(sample: DataFrame) -> DataFrame:
+    """sample(text, toxic) with one of near copies; as many sketches as the sample has rows go to the driver."""
+    sample = sample.withColumn("words", F.array_distinct(F.split(F.lower("text"), WORD_GAP)))
+    # a function of the word alone: a second argument of it would be the word's place
+    least = lambda k: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(k))))
+    sketch = F.array(*[least(k) for k in range(SKETCH)])
+    sample = materialize(sample.select("text", "toxic", sketch.alias("m")).dropDuplicates(["toxic", "m"]), "toxic-sample")
+    dropped = near_copies([(r["toxic"], r["m"]) for r in sample.select("toxic", "m").collect()])
+    if dropped:
+        sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame(dropped, "toxic int, m array<long>")), ["toxic", "m"], "left_anti")
+    return sample.select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labels(doc_id, toxic) of the documents where learn_from holds; it sees the id as doc_id."""
     small_batches(docs.sparkSession)
@@ -287,10 +321,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     # about sample_rows rows of two numbers
     sample = docs.join(F.broadcast(marked), F.col(id_col) == F.col("__id")).select(text, "toxic")
-    # of near copies one stays, told by the least hashes of their words: else a copied document's words would all look toxic
-    words = F.split(F.lower("text"), WORD_GAP)
-    least = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"__k{k}") for k in range(2)]
-    sample = materialize(sample.select("*", *least).dropDuplicates(["toxic", "__k0", "__k1"]).select("text", "toxic"), "toxic-sample")
+    # of near copies one stays, told by many least hashes of their words: else a copied document's words would all look toxic
+    sample = less_near_copies(sample)
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:

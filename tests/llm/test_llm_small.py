@@ -345,6 +345,17 @@ def test_seed_stays_beside_its_stem(spark):
     assert model.score(prose(40, 1) + " scum") > model.score(prose(40, 1))
 
 
+def test_only_near_copies_are_kept_from_learning(spark):
+    passage, r = prose(30, 50), random.Random(51)
+    own = lambda n: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(8)) for _ in range(n))
+    rows = [(f"{passage} {own(40)}", 1) for _ in range(200)]
+    assert toxicity.less_near_copies(spark.createDataFrame(rows, "text string, toxic int")).count() == 200
+    base = own(100)
+    rows = [(f"{base} {own(1)}", 1) for _ in range(200)] + [(base, 0)] * 5
+    kept = [x.toxic for x in toxicity.less_near_copies(spark.createDataFrame(rows, "text string, toxic int")).collect()]
+    assert 1 <= sum(kept) <= 10 and kept.count(0) == 1
+
+
 # language
 
 
