@@ -45,6 +45,8 @@ SKETCH = 16
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Marks at a token's ends: all but those that may stand for letters, and all.
+_ENDS, _ALL_ENDS = (re.compile(rf"^(?:{m}|_)+|(?:{m}|_)+$") for m in (r"[^\w@$]", r"\W"))
 
 
 def edits_allowed(term: str) -> int:
@@ -152,17 +154,31 @@ class Model:
         if "_automaton" not in self.__dict__:
             self._automaton = TrieAutomaton(self.words, self.stems, edit_stems=True)
             self._clean: set[str] = set()
-            self._hits: dict[str, tuple[int, int]] = {}
+            self._hits: dict[str, list[tuple[int, int]]] = {}
+
+    def _match(self, word: str) -> tuple[int, int] | None:
+        hit = self._automaton.match(word) if len(word) > 2 else None
+        return None if hit is None or (hit[1] and word in self.benign) else hit
 
     def _classify(self, token: str) -> None:
-        core = token.strip("\"'“”„«»‘’‹›.,;:!?()[]{}*_-|…&%#")
-        if not core.isalpha() and any(c.isalpha() for c in core):
-            core = core.translate(LEET)
-        hit = self._automaton.match(core) if len(core) > 2 else None
-        if hit is None or (hit[1] and core in self.benign):
-            self._clean.add(token)
+        """The token less its marks, signs read as letters; if that isn't a term without edits, its runs of letters if they come nearer."""
+        core = _ENDS.sub("", token)
+        if core.isalpha():
+            hit = self._match(core)
+            hits = [hit] if hit else []
+        elif any(c.isalpha() for c in core):
+            whole = [hit for form in dict.fromkeys((core, _ALL_ENDS.sub("", core))) if (hit := self._match(form if form.isalpha() else form.translate(LEET)))]
+            hits = [min(whole, key=lambda hit: hit[1])] if whole else []
+            if not hits or hits[0][1]:
+                runs = [hit for run in _WORD.findall(core) if (hit := self._match(run))]
+                if runs and (not hits or min(e for _, e in runs) < hits[0][1]):
+                    hits = runs
+        else:
+            hits = []
+        if hits:
+            self._hits[token] = hits
         else:
-            self._hits[token] = hit
+            self._clean.add(token)
 
     def features(self, text: str) -> list[float]:
         """Weights of hits: terms outside quotation, any in quotation, near spellings; then of the first kind: different terms, share of words, hits in address."""
@@ -182,19 +198,20 @@ class Model:
         for i, t in enumerate(tokens):
             if t not in found:
                 continue
-            term, edits = self._hits[t]
             before, after = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
-            w = self.weights[term]
             in_quotes = any(x[0] in OPENING for x in before) and any(x.rstrip(".,;:!?")[-1:] in CLOSING for x in after if x.rstrip(".,;:!?"))
-            if in_quotes or not SAYING.isdisjoint(before) or not SAYING.isdisjoint(after):
-                quoted += w
-            elif edits:
-                near += w / edits
-            else:
-                plain += w
-                addressed += not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
-                terms.add(term)
-                hits += 1
+            said = in_quotes or not SAYING.isdisjoint(before) or not SAYING.isdisjoint(after)
+            for term, edits in self._hits[t]:
+                w = self.weights[term]
+                if said:
+                    quoted += w
+                elif edits:
+                    near += w / edits
+                else:
+                    plain += w
+                    addressed += not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
+                    terms.add(term)
+                    hits += 1
         return [math.log1p(plain), math.log1p(quoted), math.log1p(near), math.log1p(len(terms)), math.log1p(100 * hits / len(tokens)), math.log1p(addressed)]
 
     def score(self, text: str) -> float:

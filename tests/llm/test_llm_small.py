@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import math
 import random
 import re
 import string
@@ -356,6 +357,23 @@ def test_only_near_copies_are_kept_from_learning(spark):
     assert 1 <= sum(kept) <= 10 and kept.count(0) == 1
 
 
+def test_terms_joined_by_marks():
+    model = toxicity.Model(["stupid", "idiot", "moron", "scum"], [], [3.0] * 4)
+    model._ready()
+
+    def hits(token):
+        model._classify(token)
+        return [(model.words[n], e) for n, e in model._hits.get(token, [])]
+
+    for t in ["stupid$$$", "<stupid>", "@stupid", "/stupid=", "$tupid", "stup1d!!", "(stupid)", "stupid's"]:
+        assert hits(t) == [("stupid", 0)], t
+    assert hits("idiot/moron") == hits("idiot,moron") == hits("=idiot=moron$") == [("idiot", 0), ("moron", 0)]
+    assert hits("idiot's") == [("idiot", 0)] and hits("***") == hits("12/34") == hits("well-known") == []
+    clean = model.score("nothing at all here")
+    assert all(model.score(f"nothing {t} here") > clean for t in ["stupid$$$", "idiot/moron", "idiot's"])
+    assert model.features("idiot/moron here")[3] == math.log1p(2)
+
+
 # language
 
 
