@@ -1,7 +1,8 @@
 """From chains to base-level alignments: gaps between seeds are filled, ends are extended.
 
 A chain brings its read's and its target's sequence by equi-joins; then each row is aligned by itself. Only the stretches between
-seeds go through a matrix, and an end's matrix is held within EXTEND bases.
+seeds go through a matrix, and an end's matrix is held within max_gap bases
+and what the shorter of both ends can pay for.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.nucleotide import revcomp
 from .pairwise import Scoring, align, cigar_ops, cigar_stats, cs_tag, md_tag, score_of_cigar
 
-EXTEND = 1000
 #: Seeds nearer than this to the last one used are passed over.
 SPACING = 64
 
@@ -31,12 +31,24 @@ def joined(parts: list[str]) -> str:
     return "".join(f"{n}{op}" for n, op in out)
 
 
-def align_chain(query: str, target: str, anchors: list[tuple[int, int, int]], sc: Scoring) -> tuple[int, int, int, int, str]:
+def reach(n: int, sc: Scoring, most: int) -> int:
+    """Bases that an extension can take beside n bases of the other sequence before its gaps cost more than n matches bring; at most `most`."""
+    gaps = [(n * sc.match - q) // e if e else most for q, e in ((sc.q, sc.e), (sc.q2, sc.e2)) if n * sc.match > q]
+    return min(most, n + max(gaps, default=0))
+
+
+def extend(query: str, target: str, sc: Scoring, max_gap: int) -> tuple[int, int, str]:
+    """(query's bases, target's bases, CIGAR) of the best extension from both starts within max_gap bases."""
+    m, n = min(len(query), max_gap), min(len(target), max_gap)
+    _, _, dq, _, dt, cigar = align(query[: min(m, reach(n, sc, max_gap))], target[: min(n, reach(m, sc, max_gap))], sc, "extension")
+    return dq, dt, cigar
+
+
+def align_chain(query: str, target: str, anchors: list[tuple[int, int, int]], sc: Scoring, max_gap: int = 5000) -> tuple[int, int, int, int, str]:
     """(qs, qe, ts, te, CIGAR) of a chain on the query's strand; anchors are (reference end, query end, span), inclusive ends."""
     r0, q0, span = anchors[0]
     q, t = q0 - span + 1, r0 - span + 1
-    a, b = query[max(0, q - EXTEND) : q][::-1], target[max(0, t - EXTEND) : t][::-1]
-    _, _, dq, _, dt, left = align(a, b, sc, "extension")
+    dq, dt, left = extend(query[max(0, q - max_gap) : q][::-1], target[max(0, t - max_gap) : t][::-1], sc, max_gap)
     parts = ["".join(f"{n}{op}" for n, op in reversed(cigar_ops(left)))]
     qs, ts = q - dq, t - dt
     for k, (r, e, _) in enumerate(anchors):
@@ -45,14 +57,14 @@ def align_chain(query: str, target: str, anchors: list[tuple[int, int, int]], sc
         x, y = query[q : e + 1], target[t : r + 1]
         parts.append(f"{len(x)}M" if x == y else align(x, y, sc)[5])
         q, t = e + 1, r + 1
-    _, _, dq, _, dt, right = align(query[q : q + EXTEND], target[t : t + EXTEND], sc, "extension")
+    dq, dt, right = extend(query[q : q + max_gap], target[t : t + max_gap], sc, max_gap)
     return qs, q + dq, ts, t + dt, joined([*parts, right])
 
 
 ALIGNED = "id long, rank int, parent int, rid long, rev boolean, qname string, qlen int, qs int, qe int, tname string, tlen int, rs int, re int, mapq int, cnt int, score int, as_ int, nm int, mlen int, blen int, nn int, de double, cigar string, md string, cs string, seq string, qual string"
 
 
-def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
+def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(), max_gap: int = 5000) -> DataFrame:
     """Hits with anchors, with their base-level alignment and what follows from it. reads(id, qname, seq[, qual]); targets(rid, tname, seq)."""
     qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string")
     q = reads.select("id", "qname", "seq", qual.alias("qual"))
@@ -66,7 +78,7 @@ def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: S
             for h in batch.itertuples(index=False):
                 target = h.tseq.upper()
                 anchors = [(a["ref_pos"], a["query_pos"], a["span"]) for a in h.anchors]
-                qs, qe, ts, te, cigar = align_chain(h.oriented, target, anchors, scoring)
+                qs, qe, ts, te, cigar = align_chain(h.oriented, target, anchors, scoring, max_gap)
                 s = cigar_stats(cigar, h.oriented, target, qs, ts)
                 n = len(h.seq)
                 out.append((h.id, h.rank, h.parent, h.rid, h.rev, h.qname, n, *((n - qe, n - qs) if h.rev else (qs, qe)), h.tname, len(target), ts, te, h.mapq, h.cnt, h.score, score_of_cigar(cigar, h.oriented, target, scoring, qs, ts), s["nm"], s["matches"], s["block_len"], s["nn"], s["de"], cigar, md_tag(cigar, h.oriented, target, qs, ts), cs_tag(cigar, h.oriented, target, qs, ts), h.seq, h.qual))

@@ -94,7 +94,7 @@ class Mapping:
     def aligned(self) -> DataFrame:
         """Hits with base-level alignments, less those whose score or matches are too few."""
         o = self.options
-        found = basealign.align_hits(self.hits("dp"), self.reads, self.targets, o.scoring)
+        found = basealign.align_hits(self.hits("dp"), self.reads, self.targets, o.scoring, o.max_gap)
         return found.where((F.col("as_") >= o.min_dp_score) & (F.col("mlen") >= o.min_chain_score))
 
     def sam(self) -> DataFrame:

@@ -126,6 +126,26 @@ def test_passages_that_many_targets_share(spark, tmp_path):
     assert [x.id for x in spark.read.parquet(out).collect()] == [1]
 
 
+def test_ends_are_extended_as_far_as_gaps_are_allowed():
+    import random
+
+    from seqloom.operators import basealign
+
+    r, sc = random.Random(12), pairwise.Scoring()
+    target = "".join(r.choice("ACGT") for _ in range(1600))
+    turn = str.maketrans("ACGT", "CGTA")
+    end = "".join(c.translate(turn) if i % 15 == 7 else c for i, c in enumerate(target[100:]))
+    query = target[:100] + end
+    assert basealign.align_chain(query, target, [(99, 99, 19)], sc)[:4] == (0, 1600, 0, 1600)
+    assert basealign.align_chain(query[::-1], target[::-1], [(1599, 1599, 19)], sc)[:4] == (0, 1600, 0, 1600)
+    assert basealign.align_chain(query, target, [(99, 99, 19)], sc, 200)[1] <= 300
+    for _ in range(60):  # what reach() leaves out can not be part of the best extension
+        a, b = ("".join(r.choice("AC") for _ in range(r.randint(0, n))) for n in (9, 90))
+        a, b = (a, b) if r.random() < 0.5 else (b, a)
+        got = pairwise.align(a, b, sc, "extension")
+        assert basealign.extend(a, b, sc, 5000) == (got[2], got[4], got[5])
+
+
 def test_fastx_parser():
     parse = lambda t, **k: list(fastx.parse_records(iter(t.splitlines(True)), **k))
     assert parse(">a b c\r\nAC GU\r\n\r\nTT\n>x\n") == [("a", "b c", "ACGTTT", None), ("x", None, "", None)]
