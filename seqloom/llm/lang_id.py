@@ -11,7 +11,8 @@ Only n-grams that landmarks have are columns of the first product; the others co
 Null texts, and texts without a letter, are `und` with score 0. Repeated rows are predicted one by one. With fewer than two
 languages to learn from, the only one (or `und`) is predicted for all texts that have a letter.
 
-Learning uses about SAMPLE_ROWS rows, chosen by a hash of the text, each reduced to its set of n-grams.
+Learning uses about SAMPLE_ROWS rows, chosen by a hash of the text, each reduced to its set of n-grams;
+equal sets of one language count once.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def train(docs: DataFrame, learn_from: Column | None = None, text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["lang", "grams"])
 
     # about sample_rows rows of at most SPACE numbers each
-    found = sorted((crc32(r["grams"]), r["lang"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, grams binary").collect() if r["grams"])
+    found = sorted((crc32(r["grams"]), r["lang"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, grams binary").distinct().collect() if r["grams"])
     return fit([np.frombuffer(g, np.int32) for _, _, g in found], [lang for _, lang, _ in found])
 
 

@@ -395,6 +395,14 @@ def test_language(spark, docs, empty):
     assert lang_id.predict(empty, model).count() == 0
 
 
+def test_language_learns_once_from_copies(spark):
+    r = random.Random(13)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(text("abcdefgh"), "aa") for _ in range(40)] + [(text("ijklmnop"), "bb") for _ in range(40)] + [(text("abcdefgh"), "aa")] * 300
+    model = lang_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.landmarks.shape[1] == np.unique(model.landmarks, axis=1).shape[1] == 81
+
+
 def test_kernel_is_that_of_shared_ngrams():
     a, b = "Hello, world!", "yellow wool"
 
