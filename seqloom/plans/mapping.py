@@ -71,6 +71,8 @@ class Mapping:
         if method == "greedy":
             c = chain.greedy_chains(self.anchors, self.lengths, o.max_gap, o.bandwidth)
             return c.where((F.col("score") >= o.min_chain_score) & (F.col("cnt") >= o.min_cnt))
+        if o.rmq:
+            raise NotImplementedError("these options ask for range-minimum chaining, which the mapping plan does not have; set rmq=False for dynamic programming")
         return chain.dp_chains(self.anchors, self.lengths, o.max_gap, o.bandwidth, o.min_cnt, o.min_chain_score, o.gap_penalty, o.skip_penalty)
 
     @cached_property

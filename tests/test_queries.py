@@ -146,6 +146,19 @@ def test_ends_are_extended_as_far_as_gaps_are_allowed():
         assert basealign.extend(a, b, sc, 5000) == (got[2], got[4], got[5])
 
 
+@pytest.mark.parametrize("name", ["asm5", "asm10", "asm20", "lr:hqae"])
+def test_presets_of_range_minimum_chaining_are_refused(spark, sf_dir, name):
+    from dataclasses import replace
+
+    from seqloom.plans.config import preset
+    from seqloom.plans.mapping import Mapping
+
+    m = Mapping(q.reads(spark, sf_dir), q.targets(spark, sf_dir), preset(name))
+    with pytest.raises(NotImplementedError, match="range-minimum"):
+        m.paf()
+    Mapping(m.reads, m.targets, replace(preset(name), rmq=False), 10).chains()
+
+
 def test_fastx_parser():
     parse = lambda t, **k: list(fastx.parse_records(iter(t.splitlines(True)), **k))
     assert parse(">a b c\r\nAC GU\r\n\r\nTT\n>x\n") == [("a", "b c", "ACGTTT", None), ("x", None, "", None)]
