@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import revcomp
+from ..session import bounded_batches
 from .pairwise import Scoring, align, cigar_ops, cigar_stats, cs_tag, md_tag, score_of_cigar
 
 #: Seeds nearer than this to the last one used are passed over.
@@ -84,5 +85,5 @@ def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: S
                 out.append((h.id, h.rank, h.parent, h.rid, h.rev, h.qname, n, *((n - qe, n - qs) if h.rev else (qs, qe)), h.tname, len(target), ts, te, h.mapq, h.cnt, h.score, score_of_cigar(cigar, h.oriented, target, scoring, qs, ts), s["nm"], s["matches"], s["block_len"], s["nn"], s["de"], cigar, md_tag(cigar, h.oriented, target, qs, ts), cs_tag(cigar, h.oriented, target, qs, ts), h.seq, h.qual))
             yield pd.DataFrame(out, columns=names)
 
-    hits.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    bounded_batches(hits.sparkSession)
     return rows.select("id", "rank", "parent", "rid", "rev", "qname", "seq", "qual", "tname", "tseq", "oriented", "mapq", "cnt", "score", "anchors").mapInPandas(run, ALIGNED)

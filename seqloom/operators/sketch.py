@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import CODE, hash_kmers, kmers
+from ..session import bounded_batches
 
 SEEDS = "ord int, pos int, hash long, span int, strand int"
 Sketch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -135,5 +136,5 @@ def sketch(df: DataFrame, method: str = "minimizer", id_col: str = "id", seq_col
                     cols = [pa.array(np.arange(n), pa.int32()), pa.array(pos, pa.int32()), pa.array(h.view(np.int64) if h.dtype == np.uint64 else h, pa.int64()), pa.array(span, pa.int32()), pa.array(strand, pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], n), *cols], names=["id", "ord", "pos", "hash", "span", "strand"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    bounded_batches(df.sparkSession)
     return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, {SEEDS}")

@@ -29,16 +29,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of an Arrow batch on its way to Python; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, whatever their rows' number, for the whole session; a bound that the user has set stays."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and master is local a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root or "file://" + os.path.join(tempfile.gettempdir(), f"seqloom-{os.getpid()}")
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file, a folder, or all that a pattern fits."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(p) or []:
+        store.delete(found.getPath(), True)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

@@ -84,7 +84,7 @@ FILE_RECORD = f"{RECORD}, ordinal long, file string"
 
 def read_fastx(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(name, comment, seq, qual, ordinal, file) of FASTA or FASTQ files, plain or gzip by their first bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_parse_files(strict), FILE_RECORD)
 
