@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import bounded_batches, table
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def format_chats(conversations: DataFrame, template: Template = CHATML) -> DataF
     state is the machine's after the turn; error is set on the turns from the first that the machine refuses.
     Whether the conversation's last state accepts can be told from its last row.
     """
-    small_batches(conversations.sparkSession)
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 

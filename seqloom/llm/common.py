@@ -5,27 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete, discard, materialize, shared_path, shared_root
+from ..session import bounded_batches, delete, discard, materialize, shared_path, shared_root
 
-__all__ = ["delete", "discard", "materialize", "shared_path", "shared_root"]
+__all__ = ["bounded_batches", "delete", "discard", "materialize", "shared_path", "shared_root"]
 
 #: White space between words: the space and the bytes 09 to 0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of an Arrow batch. Long texts make batches of this many rows a few MB, so a Python worker stays small.
-BATCH_ROWS = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in small batches, whatever their number."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

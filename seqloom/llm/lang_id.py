@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, small_batches, table, without
+from .common import bounded_batches, crc_of_id, table, without
 
 SAMPLE_ROWS = 3_000
 LANDMARKS = 256
@@ -118,7 +118,7 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
 
 def train(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and language of the rows where learn_from holds and the language is not null."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn_from is None else learn_from))
     share = min(1.0, sample_rows / max(1, rows.count()))
     rows = rows.where(F.shiftrightunsigned(F.xxhash64(text_col), 32) < int(share * 2**32)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -135,7 +135,7 @@ def train(docs: DataFrame, learn_from: Column | None = None, text_col: str = "te
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score, in place of columns of these names."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

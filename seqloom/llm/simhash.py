@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, small_batches
+from .common import bounded_batches, discard, free_name, materialize
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -152,7 +152,7 @@ def _text_hash(text_col: str) -> Column:
 
 def add_fingerprint(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, text_hash, fp): the fingerprint as a signed long. One row for each row of df."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     kept = df.select(F.col(f"`{id_col}`").alias("id"), _text_hash(text_col).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def link_forest(fps: DataFrame, bits: int = MAX_BITS, limit: int = CELL_LIMIT) -
     if bits > MAX_BITS:
         raise ValueError(f"the grid is laid out for distances up to {MAX_BITS}")
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    bounded_batches(spark)
     cells = fps.select("fp").mapInArrow(_cells, "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
     found = materialize(cells.mapInArrow(_links(bits, limit), "a long, b long").distinct(), "simhash-links")
     links = found.where("a <> b")

@@ -7,10 +7,11 @@ document is read by seeking to the blocks that hold it.
 
 Documents are dealt out by ranges of their ids and sorted within them; each partition encodes its texts and streams one file,
 which gets its name only when it is complete, so a task that runs again leaves the same file. Files hold ids in ascending
-order of document id, and file numbers ascend too. Null ids come first. Rows that repeat an id are ordered by text.
-Null and empty texts have only the end id. An empty table writes files without documents, or none.
+order of document id, and file numbers ascend too. Null ids come first. Rows that repeat an id are ordered by a hash of their text, so that
+a frequent id is dealt out over files too. Null and empty texts have only the end id. An empty table writes files without documents, or none.
 
-Texts are cut at spaces and line breaks, which the tokenizer drops; each different piece is encoded once in each worker.
+With a tokenizer whose rules are those of NORMALIZER and PRE_TOKENIZER, texts are cut at spaces and line breaks, which it drops, and each
+different piece is encoded once in each worker. With any other, whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -30,16 +31,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, small_batches, table
+from .common import bounded_batches, delete, materialize, shared_path, table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 8192
-DOCS_A_FILE = 8192
+#: A file has so many documents while there are few, or about so many bytes of text; there are at most MAX_FILES of them, which then grow.
+DOCS_A_FILE, BYTES_A_FILE, MAX_FILES = 8192, 1 << 28, 20_000
+#: The rules of the tokenizer file by which a text may be cut at white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 MAGIC = b"SEQLTOK1"
 TRAILER = struct.Struct("<IIQQQQI")  # bits, block, documents, ids, blocks, footer's place, footer's crc32
 #: Pieces, and pieces less their last marks, that a worker remembers.
 PIECES, CORES = 250_000, 1_000_000
+#: Longer ones, in characters, are not remembered.
+LONG = 64
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -136,7 +144,7 @@ class Reader:
 
 
 class PieceEncoder:
-    """The tokenizers library's ids of whole texts, a piece between spaces at a time."""
+    """The tokenizers library's ids of whole texts, where its rules allow a piece between spaces at a time."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,7 +152,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.vocabulary = 1 + max([*json.load(f)["model"]["vocab"].values(), END_ID])
+            rules = json.load(f)
+        self.by_piece = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and all(t["content"].startswith("<|") and not {" ", "\n"} & set(t["content"]) for t in rules.get("added_tokens", []))
+        self.vocabulary = 1 + max(END_ID, *self.tokenizer.get_vocab().values())
         self.vocabulary = max(self.vocabulary, self.tokenizer.get_vocab_size())
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.seen: dict[str, bytes] = {"": b""}
@@ -164,16 +174,23 @@ class PieceEncoder:
         self.seen.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.seen) >= PIECES:
-            self.seen = {"": b""}
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            try:
-                ids = b"".join(map(self.seen.__getitem__, pieces))
-            except KeyError:
-                self._learn(set(pieces).difference(self.seen))
-                ids = b"".join(map(self.seen.__getitem__, pieces))
-            yield np.frombuffer(ids, self.kind)
+        if not self.by_piece:
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, self.kind)
+            return
+        cuts = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = set().union(*cuts)
+        if len(self.seen) >= PIECES:  # what these texts have recurs
+            self.seen = {"": b""} | {p: self.seen[p] for p in pieces & self.seen.keys()}
+        new = pieces.difference(self.seen)
+        if new:
+            self._learn(new)
+        join, of = b"".join, self.seen.__getitem__
+        for c in cuts:
+            yield np.frombuffer(join(map(of, c)), self.kind)
+        for p in new:
+            if len(p) > LONG:
+                del self.seen[p]
 
 
 @lru_cache(maxsize=2)
@@ -190,13 +207,19 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 MANIFEST = "shard long, path string, n_docs long, n_ids long, bits int"
 
 
-def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, docs_a_file: int = DOCS_A_FILE, bytes_a_file: int = BYTES_A_FILE) -> DataFrame:
     """Encode whole texts and write files under folder, a URI that executors share. Returns the files' manifest, written too."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     path = tokenizer or tokenizer_path()
-    files = max(1, -(-df.count() // docs_a_file))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    n = df.count()
+    files = -(-n // docs_a_file)
+    parallel = 4 * df.sparkSession.sparkContext.defaultParallelism
+    if files > parallel:
+        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+        files = min(files, max(parallel, -(-size // bytes_a_file)), MAX_FILES)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    rows = rows.repartitionByRange(max(1, files), "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
@@ -204,12 +227,17 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         shard = TaskContext.get().partitionId()
         name, temporary = f"{top}/{shard:08d}.tok", f"{top}/_{shard:08d}-{uuid.uuid4().hex}"
         enc = encoder(path)
-        out = Writer(store.open_output_stream(temporary), enc.vocabulary)
         end = np.array([end_id], enc.kind)
-        for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                out.add(doc_id, np.concatenate((ids, end)))
-        out.close()
+        try:
+            out = Writer(store.open_output_stream(temporary), enc.vocabulary)
+            for b in batches:
+                for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                    out.add(doc_id, np.concatenate((ids, end)))
+            out.close()
+        except BaseException:
+            if store.get_file_info(temporary).type == fs.FileType.File:
+                store.delete_file(temporary)
+            raise
         try:
             store.move(temporary, name)
         except OSError:  # another attempt at this task has put the same file there
@@ -218,7 +246,9 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
             store.delete_file(temporary)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (f"{folder}/{shard:08d}.tok", pa.string()), (len(out.docs), pa.int64()), (out.total, pa.int64()), (out.bits, pa.int32()))], names=["shard", "path", "n_docs", "n_ids", "bits"])
 
-    return materialize(rows.mapInArrow(run, MANIFEST), "tokens-manifest")
+    manifest = materialize(rows.mapInArrow(run, MANIFEST), "tokens-manifest")
+    delete(df.sparkSession, f"{folder}/_*")  # of attempts that were lost with their executor
+    return manifest
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

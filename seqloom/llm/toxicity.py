@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, crc_of_id, materialize, small_batches, table, without
+from .common import WORD_GAP, bounded_batches, crc_of_id, materialize, table, without
 
 #: Fixed seed terms, fixed verbs of saying and fixed forms of address.
 SEEDS = "idiot moron stupid pathetic worthless disgusting loser scum trash clown imbecile bastard".split()
@@ -329,7 +329,7 @@ def less_near_copies(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labels(doc_id, toxic) of the documents where learn_from holds; it sees the id as doc_id."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(learn_from) if learn_from is not None else marked
     n = marked.count()
@@ -367,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """df with the score of each whole text."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -158,25 +158,29 @@ def test_bpe_equals_the_library():
         assert b.decode(ids) == t.encode()
 
 
-def test_merges_equal_least_rank_first_on_random_ranks():
-    """Ranks in any order, so that merges bring up lower ranks than their own."""
+def test_merges_equal_least_rank_first_on_random_ranks(monkeypatch):
+    """Ranks in any order, so that merges bring up lower ranks than their own; buckets merged at once or by position."""
     r = random.Random(4)
-    for _ in range(300):
+    for n in range(300):
+        monkeypatch.setattr(rank_bpe, "MANY", (1, 3, 10**9)[n % 3])
         ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
         more = list({bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))) for _ in range(12)})
         ranks |= {t: 3 + i for i, t in enumerate(more)}
         b = rank_bpe.Bpe(ranks, r"[^x]+")
-        piece = bytes(r.choice(b"abc") for _ in range(r.randint(1, 25)))
-        if piece in ranks:
-            continue
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while True:
-            options = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
-            if not options:
-                break
-            _, i = min(options)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert b.merge(piece) == parts
+        pieces = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 25))) for _ in range(r.randint(1, 12))]
+        want = []
+        for piece in pieces:
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while options := [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]:
+                _, i = min(options)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            want.append(np.array([ranks[p] for p in parts], "<u4").tobytes())
+        assert b.merge(pieces) == want
+        assert [b.decode(w) for w in want] == pieces
+    with pytest.raises(KeyError):
+        b.merge([b"abz"])
+    with pytest.raises(KeyError):
+        b.decode(np.array([99], "<u4").tobytes())
 
 
 def test_bpe_documents(spark, docs, empty):
