@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Keys for each block of 64 bits, and bits for each key.
 KEYS_A_BLOCK, PROBES = 4, 4
-#: A filter of so many blocks (16 bytes each) is broadcast; the number is the caller's to bound.
+#: A filter of at most so many blocks (16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BLOCKS = 1 << 16
 
 
@@ -23,10 +23,9 @@ def _bits(key: Column) -> Column:
     return out
 
 
-def build(keys: DataFrame, key: str, most_blocks: int | None = None) -> tuple[DataFrame, int]:
-    """((block, word), number of blocks). With most_blocks, a larger set of keys fills the blocks more and passes more."""
+def build(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """((block, word), number of blocks)."""
     blocks = 1 << max(0, (keys.count() // KEYS_A_BLOCK).bit_length())
-    blocks = min(blocks, most_blocks or blocks)
     words = keys.select(_block(F.col(key), blocks).alias("block"), _bits(F.col(key)).alias("bits"))
     return words.groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
 

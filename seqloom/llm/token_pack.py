@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +46,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 MAGIC = b"SEQLTOK1"
 TRAILER = struct.Struct("<IIQQQQI")  # bits, block, documents, ids, blocks, footer's place, footer's crc32
-#: Pieces, and pieces less their last marks, that a worker remembers.
-PIECES, CORES = 250_000, 1_000_000
+#: Pieces that a worker remembers.
+PIECES = 800_000
 #: Longer ones, in characters, are not remembered.
 LONG = 64
 
@@ -143,12 +145,17 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: A word of letters whose lower case is as long and of this class too, then marks that make one pre-token.
+_MARKS = ".,;:!?*#$%&"
+_PLAIN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]*")
+
+
 class PieceEncoder:
     """The tokenizers library's ids of whole texts, where its rules allow a piece between spaces at a time."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -156,22 +163,44 @@ class PieceEncoder:
         self.by_piece = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and all(t["content"].startswith("<|") and not {" ", "\n"} & set(t["content"]) for t in rules.get("added_tokens", []))
         self.vocabulary = 1 + max(END_ID, *self.tokenizer.get_vocab().values())
         self.vocabulary = max(self.vocabulary, self.tokenizer.get_vocab_size())
-        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
+        self.ends_word = np.zeros(self.vocabulary, bool)
+        self.of_words = Tokenizer(self.tokenizer.model)  # for words that the rules leave as they are
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = rules["model"].get("end_of_word_suffix") or ""
+        self.by_piece = self.by_piece and bool(suffix)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.seen: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words in lower case, encoded as one text: each word is one pre-token, whose last token has the end-of-word mark."""
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end each word once")
+        packed = ids.astype(self.kind).tobytes()
+        ends = (ends * np.dtype(self.kind).itemsize).tolist()
+        return [packed[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Marks at the end of a piece whose last character before them is an ASCII letter are tokens apart from it."""
-        parts = {}
-        for p in pieces:
-            core = p.rstrip(".,;:!?")
-            parts[p] = (core.lower(), p[len(core) :]) if core.isascii() and core[-1:].isalpha() and "<|" not in p else (p, "")
-        if len(self.known) >= CORES:
-            self.known = {"": b""}
-        known = self.known
-        if new := list({c for pair in parts.values() for c in pair}.difference(known)):
-            known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        self.seen.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
+        """Put the ids of pieces in seen. Marks after a plain word are tokens apart from it."""
+        seen = self.seen
+        plain = list(filter(_PLAIN.fullmatch, pieces))
+        if others := list(pieces.difference(plain)):
+            seen.update(zip(others, self._ids(others), strict=True))
+        if not plain:
+            return
+        words = [p.rstrip(_MARKS) for p in plain]
+        marks = [p[len(w) :] for p, w in zip(plain, words, strict=True)]
+        words = " ".join(words).lower().split(" ")
+        different = list(set(words))
+        word_ids = dict(zip(different, self._word_ids(different), strict=True))
+        different = list(set(marks))
+        mark_ids = dict(zip(different, self._ids(different), strict=True))
+        seen.update({p: word_ids[w] + mark_ids[m] for p, w, m in zip(plain, words, marks, strict=True)})
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not self.by_piece:
@@ -215,7 +244,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
     files = -(-n // docs_a_file)
     parallel = 4 * df.sparkSession.sparkContext.defaultParallelism
     if files > parallel:
-        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+        size = int(str(df.select(F.col(f"`{text_col}`"))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         files = min(files, max(parallel, -(-size // bytes_a_file)), MAX_FILES)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
