@@ -11,12 +11,13 @@ Only n-grams that landmarks have are columns of the first product; the others co
 Null texts, and texts without a letter, are `und` with score 0. Repeated rows are predicted one by one. With fewer than two
 languages to learn from, the only one (or `und`) is predicted for all texts that have a letter.
 
-Learning uses about SAMPLE_ROWS rows, chosen by a hash of the text, each reduced to its set of n-grams;
-equal sets of one language count once.
+Learning uses about SAMPLE_ROWS rows, as many of each language and LEAST_ROWS at least, chosen by a hash of id and text, each reduced to its
+set of n-grams; equal sets of one language count once. At most MAX_LANGUAGES languages are learned, the most frequent; others are warned of.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,11 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, crc_of_id, table, without
+from .common import bounded_batches, crc_of_id, free_name, table, without
 
 SAMPLE_ROWS = 3_000
+LEAST_ROWS = 50
+MAX_LANGUAGES = 1_000
 LANDMARKS = 256
+#: Texts scored by one matrix product.
+TOGETHER = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
 _SIZES = (64, 64**2, 64**3)
@@ -116,20 +122,34 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     return Model(languages, column, marks, (root @ w).astype(np.float32))
 
 
-def train(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def sample_of(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """(lang, text) of rows(id, lang, text): by a hash of id and text about as many of each language, half as many again as asked for."""
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        warnings.warn(f"only the {MAX_LANGUAGES} most frequent languages are learned", stacklevel=2)
+        counts = counts[:MAX_LANGUAGES]
+    each = max(LEAST_ROWS, sample_rows // max(1, len(counts)))
+    shares = [(r["lang"], int(min(1.0, 1.5 * each / r["count"]) * 2**32)) for r in counts]
+    shares = rows.sparkSession.createDataFrame(shares, "lang string, share long")
+    picked = rows.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("id", "text"), 32) < F.col("share"))
+    return picked.select("lang", "text")
+
+
+def train(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> Model:
     """Learn from text and language of the rows where learn_from holds and the language is not null."""
     bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn_from is None else learn_from))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    rows = rows.where(F.shiftrightunsigned(F.xxhash64(text_col), 32) < int(share * 2**32)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = docs.where(lang.isNotNull() & text.isNotNull() & (F.lit(True) if learn_from is None else learn_from))
+    own = F.col(f"`{id_col}`").cast("string") if id_col in docs.columns else F.lit(None).cast("string")
+    rows = sample_of(rows.select(own.alias("id"), lang.cast("string").alias("lang"), text.alias("text")), sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [ngrams(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["lang", "grams"])
 
-    # about sample_rows rows of at most SPACE numbers each
-    found = sorted((crc32(r["grams"]), r["lang"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, grams binary").distinct().collect() if r["grams"])
+    # sets of at most SPACE numbers, about as many as rows asked for; those of equal texts and language are one
+    found = sorted((crc32(r["grams"]), r["lang"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, grams binary").where("length(grams) > 0").distinct().collect())
     return fit([np.frombuffer(g, np.int32) for _, _, g in found], [lang for _, lang, _ in found])
 
 
@@ -140,11 +160,15 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = shared.value.predict([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            lang, score = [], []
+            for a in range(0, b.num_rows, TOGETHER):
+                more = shared.value.predict([t or "" for t in b.column(b.num_columns - 1).slice(a, TOGETHER).to_pylist()])
+                lang += more[0]
+                score += more[1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     kept = without(df, "lang_pred", "score")
-    return kept.select("*", F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, kept.schema.add("lang_pred", "string").add("score", "double"))
+    return df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text_col}`").alias(free_name(kept.columns, "text_to_score"))).mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

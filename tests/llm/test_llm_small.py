@@ -311,6 +311,11 @@ def test_toxicity_learns_terms_and_reads_context(spark, empty):
     assert sum((out[i].score >= 0.5) != bool(t) for i, _, t in labels) <= 4
     assert out[None].score < 0.5
     assert toxicity.reject_toxic(docs, lab).columns == docs.columns
+    many = docs.unionByName(docs.where("doc_id < 40")).unionByName(spark.createDataFrame([(9001, prose(60_000, 3) + " you idiot " * 3, None, None, None)], DOCS))
+    assert toxicity.score(many, model).count() == 442 and toxicity.reject_toxic(many, lab).where("doc_id = 9001").count() <= 1
+    assert toxicity.reject_toxic(empty, lab).count() == 0 and toxicity.reject_toxic(docs, lab.where("false")).count() > 0
+    other = toxicity.train(docs.repartition(7).unionByName(docs), lab.repartition(3), toxicity.learnable())
+    assert [other.score(r[1]) for r in rows] == [model.score(r[1]) for r in rows]
     plain = toxicity.train(empty, lab.where("false"))
     assert plain.words == toxicity.SEEDS and plain.score("") < 0.5 < plain.score("you idiot you absolute moron")
     assert plain.score('they said " idiot " is a word') < plain.score("you are an idiot here and now")
@@ -407,6 +412,39 @@ def test_language_learns_once_from_copies(spark):
     assert model.landmarks.shape[1] == np.unique(model.landmarks, axis=1).shape[1] == 81
 
 
+def test_language_sample_is_bounded_and_has_rare_languages(spark):
+    """Half of the rows share one text, and a language has one row in 1,000; row order has no bearing."""
+    r = random.Random(14)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, "abba " * 9 if i % 2 else text("abcdefgh"), "aa") for i in range(40_000)] + [(40_000 + i, text("ijklmnop"), "bb") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = {x.lang: x["count"] for x in lang_id.sample_of(df.withColumnRenamed("doc_id", "id"), 400).groupBy("lang").count().collect()}
+    assert picked["bb"] == 40 and 200 < picked["aa"] < 450
+    a, b = lang_id.train(df, sample_rows=400), lang_id.train(df.repartition(5), sample_rows=400)
+    probes = [t for _, t, _ in rows[::997]] + [t for _, t, _ in rows[-40:]]
+    assert a.predict(probes) == b.predict(probes)
+    assert a.predict(probes)[0] == ["aa"] * (len(probes) - 40) + ["bb"] * 40
+
+
+def test_predictions_are_those_of_kernel_ridge():
+    """With every text a landmark, Nyström features are the kernel's own: margins equal a plain kernel ridge regression's."""
+    r = random.Random(15)
+    texts = ["".join(r.choice("abcdefgh " if i % 2 else "efghijkl ") for _ in range(60)) for i in range(40)]
+    langs = ["aa" if i % 2 else "bb" for i in range(40)]
+    sets = [lang_id.ngrams(t) for t in texts]
+    model = lang_id.fit(sets, langs, landmarks=1000)
+    shared = lambda a, b: len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b))
+    kernel = np.array([[shared(a, b) for b in sets] for a in sets])
+    y = np.where(np.array(langs)[:, None] == np.array(["aa", "bb"]), 1.0, -1.0)
+    alpha = np.linalg.solve(kernel + lang_id.RIDGE * len(sets) / 100 * np.eye(40), y)
+    new = ["".join(r.choice("abcdefghijkl ") for _ in range(50)) for _ in range(20)]
+    margins = np.array([[shared(lang_id.ngrams(t), s) for s in sets] for t in new]) @ alpha
+    got, score = model.predict(new)
+    assert got == [["aa", "bb"][k] for k in margins.argmax(1)]
+    odds = np.exp(6 * (margins - margins.max(1, keepdims=True)))
+    assert np.allclose(score, 1 / odds.sum(1), atol=1e-3)
+
+
 def test_kernel_is_that_of_shared_ngrams():
     a, b = "Hello, world!", "yellow wool"
 
@@ -524,6 +562,18 @@ def test_mix_keeps_rows_and_shares(spark, empty):
     assert mixing.mix(empty, {"a": 1}).count() == 0 == mixing.mixed_rows(empty).count()
 
 
+def test_mixture_splits_hot_buckets(spark, monkeypatch):
+    """A third of the rows repeat one id, or have none: still each has a place, and each source's places have no gap."""
+    monkeypatch.setattr(mixing, "HOT", 300)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"s{i % 4}" if i % 5 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, row_number int")
+    out = mixing.mix(df, {"s0": 3, "s1": 2}, block_rows=4).toPandas()
+    assert len(out) == 6000 and out.mix_order.is_unique and sorted(out.row_number) == list(range(6000))
+    for _, g in out.groupby("source", dropna=False):
+        assert sorted(g.seq) == list(range(len(g)))
+
+
 # quality
 
 
