@@ -10,14 +10,17 @@ Around each hit a window of words tells quotation (quotation marks around it, or
 Sums over the document's hits go into a logistic regression. Texts without hits, null and empty texts among them, get its value
 at zero. Repeated rows are scored one by one. With no labels of both kinds, fixed weights of the seed terms are used.
 
-Learning uses about SAMPLE_ROWS labelled rows, chosen by a hash of the id, less near copies: rows of one label that share their first
-two min-hashes and three quarters of SKETCH. An id with several labels counts as toxic if one says so.
+Learning uses about SAMPLE_ROWS labelled ids, chosen by a hash of the id, less near copies: rows of one label that share their first
+two min-hashes and three quarters of SKETCH. An id with several labels counts as toxic if one says so; of several texts of an id, and of texts
+with the same min-hashes, that with the least hash is learned from, so the layout of the rows has no bearing. The model
+has at most MAX_TERMS learned terms, the surest; a warning tells if there are more.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WORD_GAP, bounded_batches, crc_of_id, materialize, table, without
+from .common import WORD_GAP, bounded_batches, crc_of_id, free_name, materialize, table, without
 
 #: Fixed seed terms, fixed verbs of saying and fixed forms of address.
 SEEDS = "idiot moron stupid pathetic worthless disgusting loser scum trash clown imbecile bastard".split()
@@ -185,9 +189,9 @@ class Model:
         self._ready()
         tokens = text.lower().split()
         different = set(tokens)
+        if len(self._clean) + len(self._hits) > REMEMBERED:
+            self._clean, self._hits = set(), {}
         new = different - self._clean - self._hits.keys()
-        if len(self._clean) > REMEMBERED:
-            self._clean, new = set(), different - self._hits.keys()
         for t in new:
             self._classify(t)
         found = different & self._hits.keys()
@@ -261,8 +265,11 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
             for n in STEMS:
                 longest[k[:n]] = max(p, longest.get(k[:n], 0))
     words, stems, under = [], [], 0
-    for g, _, k, p in good[: 4 * MAX_TERMS]:
-        if g < level or len(words) - under + len(stems) >= MAX_TERMS:
+    for g, _, k, p in good:
+        if g < level:
+            break
+        if len(words) - under + len(stems) >= MAX_TERMS:
+            warnings.warn(f"there are more than {MAX_TERMS} terms; only the surest are used", stacklevel=2)
             break
         above = any(k.startswith(s) for s in stems)
         if k[-1] != "*":  # beside a stem too, which does not fit the word that equals it and allows fewer edits; such words take no other term's place
@@ -320,7 +327,7 @@ def less_near_copies(sample: DataFrame) -> DataFrame:
     # a function of the word alone: a second argument of it would be the word's place
     least = lambda k: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(k))))
     sketch = F.array(*[least(k) for k in range(SKETCH)])
-    sample = materialize(sample.select("text", "toxic", sketch.alias("m")).dropDuplicates(["toxic", "m"]), "toxic-sample")
+    sample = materialize(sample.select("text", "toxic", sketch.alias("m")).groupBy("toxic", "m").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-sample")
     dropped = near_copies([(r["toxic"], r["m"]) for r in sample.select("toxic", "m").collect()])
     if dropped:
         sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame(dropped, "toxic int, m array<long>")), ["toxic", "m"], "left_anti")
@@ -335,9 +342,10 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     n = marked.count()
     share = min(1.0, sample_rows / max(1, n))
     marked = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(share * 2**32)).withColumnRenamed("doc_id", "__id")
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     # about sample_rows rows of two numbers
-    sample = docs.join(F.broadcast(marked), F.col(id_col) == F.col("__id")).select(text, "toxic")
+    sample = docs.select(F.col(f"`{id_col}`").alias("__id"), text).join(F.broadcast(marked), "__id")
+    sample = sample.groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
     # of near copies one stays, told by many least hashes of their words: else a copied document's words would all look toxic
     sample = less_near_copies(sample)
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -346,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return Model(SEEDS, [], [3.0] * len(SEEDS))
     counts = materialize(sample.mapInArrow(_count, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-counts")
     strong = counts.where((F.col("pos") >= MIN_DOCS) & (F.col("pos") * n_neg > 5 * F.col("neg") * n_pos) | F.col("key").isin(SEEDS))
-    found = [tuple(r) for r in strong.orderBy(F.desc("pos"), "key").limit(25 * MAX_TERMS).collect()]
+    found = [tuple(r) for r in strong.orderBy(F.desc("pos"), "key").collect()]  # keys of a bounded sample
     words, stems, weight = choose_terms(found, n_pos, n_neg)
     words = [*dict.fromkeys([*words, *(s for s in SEEDS if weight.get(s, 1) > 0)])]
     model = Model(words, stems, [max(0.5, weight.get(k, 3.0)) for k in [*words, *(s + "*" for s in stems)]])
@@ -357,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
             yield b.filter(pa.array([bool((m := model._automaton.match(k)) and m[1]) for k in b.column(0).to_pylist()], pa.bool_()))
 
     alike = counts.where(~F.col("key").endswith("*") & (4 * F.col("neg") * n_pos > F.col("pos") * n_neg)).mapInArrow(near, counts.schema)
-    model.benign = frozenset(r["key"] for r in alike.orderBy(F.desc("neg"), "key").limit(50 * MAX_TERMS).collect())
+    model.benign = frozenset(r["key"] for r in alike.select("key").collect())
     model.__dict__ = model.__getstate__()
     rows = sample.mapInArrow(_features(model), "x array<double>, toxic int").collect()
     w, b = fit_logistic(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
@@ -375,7 +383,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*b.schema.names[:-1], out_col])
 
     kept = without(df, out_col)
-    return kept.select("*", F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, kept.schema.add(out_col, "double"))
+    text = F.col(f"`{text_col}`").alias(free_name(kept.columns, "text_to_score"))
+    return df.select(*[F.col(f"`{c}`") for c in kept.columns], text).mapInArrow(run, StructType([*kept.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def learnable() -> Column:
@@ -384,11 +393,12 @@ def learnable() -> Column:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs less those that a model learned from labels scores 0.5 or more."""
-    scored = score(docs, train(docs, labels, learnable()), out_col="__toxic")
-    return scored.where("__toxic < 0.5").drop("__toxic")
+    name = free_name(docs.columns, "toxic_score")
+    scored = score(docs, train(docs, labels, learnable()), out_col=name)
+    return scored.where(F.col(name) < 0.5).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), learnable()), out_col="__s").withColumnRenamed("__s", "score")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), learnable()))
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
