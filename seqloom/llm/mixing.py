@@ -7,10 +7,13 @@ t slots, less than one block more or less than t*a/W, as long as it has rows. A
 and the others keep theirs, so no row is lost and none is repeated.
 
 The schedule repeats after W slots, so only one such period is simulated; rows find their slot by arithmetic
-and a join to the period's W rows (at most MAX_SHARES, checked). A row's place among its source's comes from counts of
-hash buckets, so no source is gathered into one task.
+and a join to the period's W rows (at most MAX_SHARES, checked). Only narrow rows are ordered: a row's number in a written copy, its id and
+its source. Its place among its source's comes from counts of hash buckets, so no source is gathered into one task; a
+bucket of more than HOT rows (repeated rows, or rows without ids) is split by row number. Whole rows then meet their order in one
+join by number and are dealt out once by ranges.
 
-Null sources are a source of their own. Repeated rows each get a place of their own. An empty table gives an empty table.
+Null sources are a source of their own. Repeated rows each get a place of their own. Columns that are named like an added one are
+replaced; other columns may have any name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import free_name, materialize, table, without
 
 BLOCK_ROWS = 16
 MAX_SHARES = 100_000
-BUCKET_ROWS = 10_000
+#: Rows of a hash bucket, about; one of over HOT rows is split.
+BUCKET_ROWS, HOT = 2_000, 8_000
 #: Target shares of the query and of the pipeline; sources not listed have DEFAULT_SHARE.
 SHARES = {"src0": 4, "src1": 2, "src2": 2}
 DEFAULT_SHARE = 1
@@ -53,34 +57,42 @@ def schedule(shares: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def mixture(rows: DataFrame, shares: Mapping[str | None, int], default_share: int = DEFAULT_SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, seq, block, slot, mix_order) of written rows(row, id, source): seq is the place within the source; mix_order sorts the mixture."""
+    spark = rows.sparkSession
+    counts = rows.groupBy("source").count().orderBy("source").limit(MAX_SHARES + 1).collect()
+    own = [shares.get(r["source"], default_share) for r in counts]
+    if sum(own) > MAX_SHARES:
+        raise ValueError(f"shares add up to {sum(own)}; at most {MAX_SHARES} are allowed")
+    names = dict(rows.dtypes)["source"]
+    sources = spark.createDataFrame([(r["source"], k, a) for k, (r, a) in enumerate(zip(counts, own, strict=True))], f"name {names}, s int, own long")
+    period = spark.createDataFrame([(i, j, slot) for i, j, slot in schedule(own)] if own else [], "ps int, pj long, place long")
+    bits = max(1, (sum(r["count"] for r in counts) // BUCKET_ROWS).bit_length())
+    key = F.xxhash64("id", "source")
+    keyed = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).select("row", "s", "own", key.alias("key"), F.shiftrightunsigned(key, 64 - bits).alias("bucket"))
+    # there are few hot buckets, as each holds many times its due
+    hot = materialize(keyed.groupBy("s", "bucket").count().where(F.col("count") > HOT).select(F.col("s").alias("hs"), F.col("bucket").alias("hb"), F.ceil(F.col("count") / BUCKET_ROWS).alias("parts")), "mix-hot")
+    keyed = keyed.join(F.broadcast(hot), (F.col("s") == F.col("hs")) & (F.col("bucket") == F.col("hb")), "left").drop("hs", "hb")
+    keyed = keyed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0).cast("long")))
+    per = materialize(keyed.groupBy("s", "bucket", "part").count(), "mix-counts")
+    before = Window.partitionBy("s").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("s", "bucket", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("s", "bucket", "part").orderBy("key", "row")) - 1
+    placed = keyed.withColumn("nth", within).join(per, ["s", "bucket", "part"])
+    placed = placed.withColumn("seq", (F.col("before") + F.col("nth")).cast("long")).withColumn("block", F.floor(F.col("seq") / block_rows).cast("long"))
+    placed = placed.join(F.broadcast(period), (F.col("s") == F.col("ps")) & (F.col("block") % F.col("own") == F.col("pj")))
+    slot = F.floor(F.col("block") / F.col("own")).cast("long") * sum(own) + F.col("place")
+    return placed.select("row", "seq", "block", slot.alias("slot"), (slot * block_rows + F.col("seq") % block_rows).alias("mix_order"))
+
+
 def mix(df: DataFrame, shares: Mapping[str | None, int], default_share: int = DEFAULT_SHARE, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """df's rows with seq (place within the source), block, slot and mix_order (sorts the mixture). Columns of these names are replaced."""
-    spark = df.sparkSession
     df = without(df, *ADDED)
-    source = F.col(f"`{source_col}`")
-    counts = df.groupBy(source.alias("s")).count().orderBy("s").limit(MAX_SHARES + 1).collect()
-    own = [shares.get(r["s"], default_share) for r in counts]
-    if sum(own) > MAX_SHARES:
-        raise ValueError(f"shares add up to {sum(own)}; at most {MAX_SHARES} are allowed")
-    rows = sum(r["count"] for r in counts)
-    bits = max(1, (rows // BUCKET_ROWS).bit_length())
-    key = F.xxhash64(F.col(f"`{id_col}`"), source)
-    bucket = F.shiftrightunsigned(F.col("__key"), 64 - bits)
-    keyed = df.withColumn("__key", key).withColumn("__bucket", bucket)
-    per = keyed.groupBy(source.alias("__s"), F.col("__bucket").alias("__b")).count()
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("__s", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(source, "__bucket").orderBy("__key", F.col(f"`{id_col}`"))) - 1
-    keyed = keyed.withColumn("__nth", within)
-    keyed = keyed.join(per, source.eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    keyed = keyed.withColumn("seq", (F.col("__before") + F.col("__nth")).cast("long")).withColumn("block", F.floor(F.col("seq") / block_rows).cast("long"))
-    period = [(counts[i]["s"], own[i], j, slot) for i, j, slot in schedule(own)] if own else []
-    period = spark.createDataFrame(period, "__ps string, __share long, __pj long, __slot long")
-    source_share = spark.createDataFrame([(r["s"], a) for r, a in zip(counts, own, strict=True)], "__ss string, __own long")
-    keyed = keyed.join(F.broadcast(source_share), source.cast("string").eqNullSafe(F.col("__ss")))
-    keyed = keyed.join(F.broadcast(period), source.cast("string").eqNullSafe(F.col("__ps")) & (F.col("block") % F.col("__own") == F.col("__pj")))
-    slot = F.floor(F.col("block") / F.col("__own")).cast("long") * sum(own) + F.col("__slot")
-    return keyed.withColumn("slot", slot).withColumn("mix_order", F.col("slot") * block_rows + F.col("seq") % block_rows).select(*[F.col(f"`{c}`") for c in df.columns], *ADDED)
+    row = free_name(df.columns, "row_number")
+    copy = materialize(df.withColumn(row, F.monotonically_increasing_id()), "mix-copy")
+    rows = copy.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"))
+    order = mixture(rows, shares, default_share, block_rows).withColumnRenamed("row", row)
+    return copy.join(order, row).select(*[F.col(f"`{c}`") for c in df.columns], *ADDED)
 
 
 def mixed_rows(df: DataFrame, shares: Mapping[str | None, int] = SHARES, **options) -> DataFrame:
