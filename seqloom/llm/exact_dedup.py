@@ -2,8 +2,8 @@
 
 Texts are split by their length and first FIRST_BYTES bytes, then by successive runs of bytes, each three times as long as all before it,
 until a group has one text or its texts have ended; texts that stay together to the end are equal, without any digest. Only groups with
-more than one row go on. Each split is an aggregation that combines on the map side, and a join of rows to the groups that are left, which
-adaptive execution splits where one group holds many of the rows.
+more than one row go on. Each split is an aggregation that combines on the map side, and a join of rows to the groups that are left: always
+a merge join, whose plan is the same at any size, and which adaptive execution splits where one group holds many of the rows.
 
 Rows are told apart by a number that a copy of the input has, written once; groups carry it through all splits. A set of rows is a
 table of bitmaps, one for each BLOCK_ROWS row numbers, so the whole texts of a set are taken from the copy by a broadcast of one bit a row,
@@ -67,19 +67,19 @@ def groups_of_equals(copy: DataFrame, row: str, id_col: str = "doc_id", text_col
     keys = materialize(base.select("row", "id", F.length("text").alias("n"), F.substring("text", 1, FIRST_BYTES).alias("digit")), "dedup-keys")
     size, keep, new = F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("keep"), F.monotonically_increasing_id().alias("new")
     split = materialize(keys.groupBy("n", "digit").agg(size, keep).where("size > 1").select(F.col("n").alias("of"), F.col("digit").alias("as"), "size", "keep", new), "dedup-groups")
-    named = keys.join(split, (F.col("n") == F.col("of")) & (F.col("digit") == F.col("as"))).select("row", "id", "n", "size", "keep", "new")
+    named = keys.join(split.hint("merge"), (F.col("n") == F.col("of")) & (F.col("digit") == F.col("as"))).select("row", "id", "n", "size", "keep", "new")
     named = materialize(named, "dedup-rows")
     equal = named.where(F.col("n") <= FIRST_BYTES).select("row", "size", "keep")
     left = named.where(F.col("n") > FIRST_BYTES).select("row", "id", "n", F.col("new").alias("gid"))
     rest = rows_of(base.select("row", "text"), "row", left.select("row"), True, most_blocks)
-    live = materialize(rest.join(left, "row").select("row", "id", "n", "gid", F.expr(f"substring(text, {FIRST_BYTES + 1})").alias("rest")), "dedup-live")
+    live = materialize(rest.join(left.hint("merge"), "row").select("row", "id", "n", "gid", F.expr(f"substring(text, {FIRST_BYTES + 1})").alias("rest")), "dedup-live")
     at = FIRST_BYTES
     while not live.isEmpty():
         width = at * (WIDEN - 1)
         digit = F.substring("rest", 1, width)
         split = live.groupBy("gid", digit.alias("digit")).agg(size, keep).where("size > 1").select(F.col("gid").alias("of"), F.col("digit").alias("as"), "size", "keep", new)
         split = materialize(split, "dedup-groups")
-        now = live.join(split, (F.col("gid") == F.col("of")) & (digit == F.col("as")))
+        now = live.join(split.hint("merge"), (F.col("gid") == F.col("of")) & (digit == F.col("as")))
         at += width
         equal = equal.unionByName(materialize(now.where(F.col("n") <= at).select("row", "size", "keep"), "dedup-done"))
         longer = materialize(now.where(F.col("n") > at).select("row", "id", "n", F.col("new").alias("gid"), F.expr(f"substring(rest, {width + 1})").alias("rest")), "dedup-live")
