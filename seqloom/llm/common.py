@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """A column of a batch in runs of rows of about `most` bytes, for work that needs many times a text's bytes."""
+    rows = max(1, len(column) * most // max(1, column.nbytes))
+    for a in range(0, len(column), rows):
+        yield column.slice(a, rows)
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bounded_batches, free_name, table, without
+from .common import bounded_batches, free_name, in_slices, table, without
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pieces of text, and pre-tokens, that a worker remembers.
-PIECES, PRE_TOKENS = 250_000, 500_000
+PIECES, PRE_TOKENS = 200_000, 400_000
 #: Longer ones, in characters, are not remembered.
 LONG = 64
 #: Buckets of so many positions are merged at once.
@@ -342,7 +342,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", ids_col: str = "toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = bpe(path)
         for b in batches:
-            ids = of.encode_all([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            ids = [i for part in in_slices(b.column(b.num_columns - 1)) for i in of.encode_all(part.to_pylist())]
             out = [pa.array(ids, pa.binary()), *([pa.array([of.decode(i) for i in ids], pa.binary())] if decoded_col else [])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*b.schema.names[:-1], *added])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, free_name, materialize
+from .common import bounded_batches, discard, free_name, in_slices, materialize
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -157,7 +157,8 @@ def add_fingerprint(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2)).view(np.int64))], ["id", "text_hash", "fp"])
+            fp = np.concatenate([np.empty(0, _u), *[fingerprints(part) for part in in_slices(b.column(2))]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
     return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, text_hash long, fp long")
 
