@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import log2_fast
+from ..session import bounded_batches
 
 CHAIN = "rid long, rev boolean, score int, cnt int, qs int, qe int, rs int, re int"
 
@@ -96,26 +99,38 @@ def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist:
 
 
 def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, bandwidth: int = 500, min_cnt: int = 3, min_score: int = 40, gap_pen: float = 0.8 * 0.01 * 19, skip_pen: float = 0.0) -> DataFrame:
-    """Chains by dynamic programming; each read, target and strand is a group of its own, so a read's targets spread over tasks.
+    """Chains by dynamic programming, with mlen and blen (matches and block length by their seeds); each read, target and strand is a group of its own, so a
+    read's targets spread over tasks.
 
     anchors: the ends of a chain's seeds, (reference, query, span), on the strand of the chain.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["ref_pos", "query_pos"])
-        ref, query, span = (g[c].to_numpy(np.int64) for c in ("ref_pos", "query_pos", "span"))
-        rows, first = [], g.iloc[0]
-        for score, path in chain_group(ref, query, span, max_dist, bandwidth, min_cnt, min_score, gap_pen, skip_pen):
-            a, z = path[0], path[-1]
-            q0, q1, n = query[a] + 1 - span[a], query[z] + 1, first["len"]
-            rows.append((first["id"], first["rid"], first["rev"], score, len(path), *((n - q1, n - q0) if first["rev"] else (q0, q1)), max(0, ref[a] + 1 - span[a]), ref[z] + 1, [(int(ref[i]), int(query[i]), int(span[i])) for i in path]))
-        return pd.DataFrame(rows, columns=["id", "rid", "rev", "score", "cnt", "qs", "qe", "rs", "re", "anchors"])
-
-    rows = anchors.join(lengths, "id")
-    # groups of fewer than min_cnt anchors make no chain: they never reach Python
-    count = F.count("*").over(Window.partitionBy("id", "rid", "rev"))
-    rows = rows.withColumn("__n", count).where(F.col("__n") >= min_cnt).drop("__n")
-    return rows.groupBy("id", "rid", "rev").applyInPandas(run, f"id long, {CHAIN}, anchors array<struct<ref_pos: int, query_pos: int, span: int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, found in zip(zip(*[b.column(k).to_pylist() for k in range(4)], strict=True), b.column(4), strict=True):
+                ref, query, span = (found.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                read, rid, rev, n = key
+                for score, path in chain_group(ref, query, span, max_dist, bandwidth, min_cnt, min_score, gap_pen, skip_pen):
+                    a, z = path[0], path[-1]
+                    q0, q1 = int(query[a] + 1 - span[a]), int(query[z] + 1)
+                    dr, dq = np.diff(ref[path]), np.diff(query[path])
+                    mlen = int(span[a] + np.minimum(np.minimum(dr, dq), span[path[1:]]).sum())
+                    blen = int(span[a] + np.maximum(dr, dq).sum())
+                    where = (n - q1, n - q0) if rev else (q0, q1)
+                    rows.append((read, rid, rev, score, len(path), *where, max(0, int(ref[a] + 1 - span[a])), int(ref[z] + 1), max(0, mlen), max(0, blen), [(int(ref[i]), int(query[i]), int(span[i])) for i in path]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    bounded_batches(anchors.sparkSession)
+    point = pa.struct([(c, pa.int32()) for c in ("ref_pos", "query_pos", "span")])
+    i32 = pa.int32()
+    arrow = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), ("score", i32), ("cnt", i32), ("qs", i32), ("qe", i32), ("rs", i32), ("re", i32), ("mlen", pa.int64()), ("blen", pa.int64()), ("anchors", pa.list_(point))])
+    # groups of too few anchors or bases make no chain: they never reach Python
+    points = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("ref_pos", "query_pos", "span")]))).alias("points")
+    groups = anchors.join(lengths, "id").groupBy("id", "rid", "rev", "len").agg(points, F.sum("span").alias("bases"))
+    groups = groups.where((F.size("points") >= min_cnt) & (F.col("bases") >= min_score)).select(F.col("id").cast("long").alias("id"), F.col("rid").cast("long").alias("rid"), "rev", "len", "points")
+    return groups.mapInArrow(run, f"id long, {CHAIN}, mlen long, blen long, anchors array<struct<ref_pos: int, query_pos: int, span: int>>")
 
 
 def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, gap_pen: float) -> tuple[np.ndarray, np.ndarray]:

@@ -36,14 +36,6 @@ def scale_alternative(score: Column, fraction: float) -> Column:
     return F.when(score < 0, score).otherwise(F.greatest(scaled, F.lit(1)))
 
 
-def second_best(hits: DataFrame) -> DataFrame:
-    """Hits with second (best score among those that each hides) and n_sub (how many of them have as many anchors)."""
-    own = hits.select("id", F.col("rank").alias("parent"), F.col("cnt").alias("__cnt"))
-    below = hits.where("rank <> parent").join(own, ["id", "parent"]).groupBy("id", F.col("parent").alias("rank"))
-    below = below.agg(F.max("score").alias("second"), F.count_if(F.col("cnt") >= F.col("__cnt")).alias("n_sub"))
-    return hits.join(below, ["id", "rank"], "left").fillna(0, ["second", "n_sub"])
-
-
 def divergence(chains: DataFrame, matched: DataFrame, lengths: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """Chains with div: 1 - (seeds matched / seeds passed)^(1/k), where ends that leave room for a seed count as one more passed.
 

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def rank_hits(chains: DataFrame) -> DataFrame:
@@ -49,46 +48,58 @@ def parents_of(qs: np.ndarray, qe: np.ndarray, mask_level: float, mask_len: int)
 
 
 def assign_parents(chains: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1) -> DataFrame:
-    """Ranked chains with parent, the rank of the hit that hides it. A read's hits are a group."""
+    """Ranked chains with parent, the rank of the hit that hides it. A read's hits are one row of arrays on their way to Python and back."""
     ranked = rank_hits(chains)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank")
-        return g.assign(parent=parents_of(g["qs"].to_numpy(), g["qe"].to_numpy(), mask_level, mask_len).astype(np.int32))
+    @F.pandas_udf("array<int>")
+    def parents(qs: pd.Series, qe: pd.Series) -> pd.Series:
+        return pd.Series([parents_of(a, z, mask_level, mask_len).astype(np.int32) if len(a) > 1 else np.zeros(len(a), np.int32) for a, z in zip(qs, qe, strict=True)])
 
-    alone = ranked.withColumn("__n", F.count("*").over(Window.partitionBy("id")))
-    schema = StructType([*ranked.schema.fields, StructField("parent", IntegerType())])
-    one = alone.where("__n = 1").drop("__n").withColumn("parent", F.lit(0))
-    return alone.where("__n > 1").drop("__n").groupBy("id").applyInPandas(run, schema).unionByName(one)
+    hits = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in ranked.columns if c not in ("id", "rank")]))).alias("hits"))
+    hits = hits.withColumn("parents", parents(F.col("hits.qs"), F.col("hits.qe")))
+    return hits.select("id", F.explode(F.arrays_zip("hits", "parents")).alias("h")).select(*["id" if c == "id" else F.col(f"h.hits.{c}") for c in ranked.columns], F.col("h.parents").alias("parent"))
+
+
+def second_best(hits: DataFrame) -> DataFrame:
+    """Hits with second (best score among those that each hides) and n_sub (how many of them have as many anchors)."""
+    family = Window.partitionBy("id", "parent")
+    root = F.col("rank") == F.col("parent")
+    cnt = F.max(F.when(root, F.col("cnt"))).over(family)
+    rows = hits.withColumn("__cnt", cnt).withColumn("__second", F.max(F.when(~root, F.col("score"))).over(family))
+    rows = rows.withColumn("__subs", F.count_if(~root & (F.col("cnt") >= F.col("__cnt"))).over(family))
+    rows = rows.withColumn("second", F.when(root, F.coalesce("__second", F.lit(0))).otherwise(0)).withColumn("n_sub", F.when(root, F.col("__subs")).otherwise(0))
+    return rows.drop("__cnt", "__second", "__subs")
 
 
 def select_secondary(hits: DataFrame, ratio: float = 0.8, min_diff: int = 38, best_n: int = 5) -> DataFrame:
     """Primary hits, and of the others at most best_n of a read that come near their parent's score and lie elsewhere."""
-    parent = hits.select("id", F.col("rank").alias("parent"), F.col("score").alias("__score"), F.struct("rid", "rev", "rs", "re", "qs", "qe").alias("__at"))
-    both = hits.join(parent, ["id", "parent"])
     primary = F.col("rank") == F.col("parent")
-    near = (F.col("score") >= F.col("__score") * F.lit(ratio).cast("float")) | (F.col("score") + min_diff >= F.col("__score"))
-    elsewhere = F.struct("rid", "rev", "rs", "re", "qs", "qe") != F.col("__at")
-    both = both.withColumn("__kept", ~primary & near & elsewhere)
+    at = F.struct("rid", "rev", "rs", "re", "qs", "qe")
+    family = Window.partitionBy("id", "parent")
+    both = hits.withColumn("__parent", F.max(F.when(primary, F.struct("score", at.alias("at")))).over(family))
+    near = (F.col("score") >= F.col("__parent.score") * F.lit(ratio).cast("float")) | (F.col("score") + min_diff >= F.col("__parent.score"))
+    both = both.withColumn("__kept", ~primary & near & (at != F.col("__parent.at")))
     nth = F.row_number().over(Window.partitionBy("id", "__kept").orderBy("rank"))
-    return both.where(primary | F.col("__kept")).withColumn("__nth", nth).where(primary | (F.col("__nth") <= best_n)).drop("__score", "__at", "__kept", "__nth")
+    return both.where(primary | F.col("__kept")).withColumn("__nth", nth).where(primary | (F.col("__nth") <= best_n)).drop("__parent", "__kept", "__nth")
 
 
 def mapping_quality(hits: DataFrame, repetitive: DataFrame, min_score: int = 40) -> DataFrame:
-    """Hits of a read with mapq, as for chains without base alignment. repetitive(id, rep_len)."""
+    """Hits of a read, with second and n_sub as second_best gave them before any was dropped, with mapq as for chains without base alignment, and rep_len.
+
+    repetitive(id, rep_len).
+    """
     f = lambda c: c.cast("float")
     read = Window.partitionBy("id")
     root = F.col("rank") == F.col("parent")
-    family = Window.partitionBy("id", "parent")
-    rows = hits.join(repetitive, "id", "left").withColumn("__sum", F.sum(F.when(root, F.col("score"))).over(read))
-    rows = rows.withColumn("__second", F.coalesce(F.max(F.when(~root, F.col("score"))).over(family), F.lit(0)))
-    unique = F.when(F.col("__sum") > 0, f(F.col("__sum")) / (f(F.col("__sum")) + f(F.coalesce("rep_len", F.lit(0))))).otherwise(F.lit(1.0))
+    rows = hits.join(repetitive, "id", "left").withColumn("rep_len", F.coalesce("rep_len", F.lit(0).cast("long"))).withColumn("__sum", F.sum(F.when(root, F.col("score"))).over(read))
+    unique = F.when(F.col("__sum") > 0, f(F.col("__sum")) / (f(F.col("__sum")) + f(F.col("rep_len")))).otherwise(F.lit(1.0))
     by_score = F.when(F.col("score") > 100, F.lit(1.0)).otherwise(0.01 * F.col("score")) * unique
     by_count = F.when(F.col("cnt") > 10, F.lit(1.0)).otherwise(0.1 * F.col("cnt"))
-    x = F.greatest("__second", F.lit(min_score)) / F.col("score")
+    x = F.greatest("second", F.lit(min_score)) / F.col("score")
     q = F.least(by_score, by_count) * 40.0 * (1 - x) * F.log(F.col("score").cast("double"))
-    mapq = F.when(root, F.least(F.greatest(F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)), F.lit(0)), F.lit(60))).otherwise(0).cast("int")
-    return rows.withColumn("mapq", mapq).drop("__sum", "__second", "rep_len")
+    q = F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)) - F.floor(4.343 * F.log(F.col("n_sub") + 1.0) + 0.499)
+    mapq = F.when(root, F.least(F.greatest(q, F.lit(0)), F.lit(60))).otherwise(0).cast("int")
+    return rows.withColumn("mapq", mapq).drop("__sum")
 
 
 def rescale_scores(hits: DataFrame, match: int, mismatch: int, fraction: float = 0.9) -> DataFrame:

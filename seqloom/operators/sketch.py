@@ -1,12 +1,15 @@
 """Sketches of sequences: minimizers, homopolymer-compressed minimizers, open syncmers and randstrobes.
 
 Each is a narrow transformation of (id, seq) to rows (id, ord, pos, hash, span, strand): no shuffle, one pass, vectorised within
-a sequence. Sequences are cut into runs of known bases; each run is sketched by itself.
+a sequence. For syncmers and randstrobes sequences are cut into runs of known bases; each run is sketched by itself. Minimizers see an
+unknown base as a place without a seed that starts the count of bases anew, while the minimum so far stays; sequences with
+such bases are walked from minimum to minimum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,26 +48,90 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def minimizers(codes: np.ndarray, w: int, k: int) -> Sketch:
-    """(position of the last base, hash, span, strand)."""
-    forward, backward, _ = kmers(codes, k)
-    x = hash_kmers(np.minimum(forward, backward), k)
-    keep = forward != backward
-    at = np.flatnonzero(keep)
-    at = at[window_minima(x[at], w)]
-    return at + k - 1, x[at], np.full(len(at), k), (forward > backward)[at].astype(np.int32)
+NO_SEED = np.uint64(2**64 - 1)
 
 
-def hpc_minimizers(codes: np.ndarray, w: int, k: int) -> Sketch:
-    """Minimizers of the sequence of homopolymer runs; spans and positions count all bases. Spans over 255 are left out."""
-    if not len(codes):
-        return (np.zeros(0, np.int64),) * 4
-    ends = np.flatnonzero(np.concatenate((codes[1:] != codes[:-1], [True])))
-    pos, h, _, strand = minimizers(codes[ends], w, k)
-    begin = np.concatenate(([0], ends[:-1] + 1))
-    span = ends[pos] + 1 - begin[pos - k + 1]
-    ok = span < 256
-    return ends[pos][ok], h[ok], span[ok], strand[ok]
+def walk_minima(x: np.ndarray, run: np.ndarray, w: int, k: int) -> np.ndarray:
+    """Places of the minima of x, by jumps from one to the next.
+
+    run: how many k-mers (or beginnings of one) there are up to a place since the last unknown base. A minimum counts when a place at most as large comes up
+    in a run of w + k at least, or when it has left the window in one of w + k - 1; so do all ties in the window where a minimum is
+    looked for anew, and those in the window of the run's place w + k - 1. The last minimum counts in any case.
+    """
+    n, out = len(x), []
+    firsts = np.flatnonzero(run == w + k - 1)
+    nth, m = 0, 0
+    while n:
+        beside = np.flatnonzero(x[m + 1 : m + w] <= x[m])
+        t = m + 1 + int(beside[0]) if len(beside) else m + w
+        seed = x[m] != NO_SEED
+        while nth < len(firsts) and firsts[nth] <= t:
+            s = int(firsts[nth])
+            nth += 1
+            if seed:
+                lo = max(0, s - w + 1)
+                out += [i for i in (lo + np.flatnonzero(x[lo:s] == x[m])).tolist() if i != m]
+        if t >= n:
+            if seed:
+                out.append(m)
+            break
+        if x[t] <= x[m]:
+            if seed and run[t] >= w + k:
+                out.append(m)
+            m = t
+            continue
+        full = run[t] >= w + k - 1
+        if seed and full:
+            out.append(m)
+        lo = t - w + 1
+        window = x[lo : t + 1]
+        ties = lo + np.flatnonzero(window == window.min())
+        m = int(ties[-1])
+        if full and x[m] != NO_SEED:
+            out += ties[:-1].tolist()
+    return np.sort(np.array(out, np.int64))
+
+
+def minimizers(raw: np.ndarray, w: int, k: int, hpc: bool = False) -> Sketch:
+    """(position of the last base, hash, span, strand) of a sequence's bytes.
+
+    hpc: of the sequence of runs of equal bytes; spans and positions count all bases, seeds of equal hash are told apart by span, and spans over 255 give no seed.
+    """
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(raw):
+        return none
+    codes = CODE[raw]
+    known = codes < 4
+    ends = np.flatnonzero(np.concatenate((raw[1:] != raw[:-1], [True])) | ~known) if hpc else np.arange(len(raw))
+    length = np.diff(np.concatenate(([-1], ends)))
+    units, unknown = known[ends], np.flatnonzero(~known[ends])
+    of = np.flatnonzero(units)  # the k-mer at a unit is of the last k known ones, over unknown bases too
+    forward, backward, _ = kmers(codes[ends[of]], k)
+    short = min(k - 1, len(of))
+    twin = np.zeros(len(ends), bool)
+    twin[of[short:]] = forward == backward  # such k-mers have no place
+    start = np.cumsum(units & ~twin)
+    before = np.zeros(len(ends), np.int64)
+    before[unknown] = start[unknown]
+    run = np.where(units, start - np.maximum.accumulate(before), 0)
+    total = np.cumsum(np.where(units, length, 0))[of]
+    span = np.full(len(ends), 256)
+    span[of[short:]] = total[short:] - np.concatenate(([0], total))[: len(total) - short] if hpc else k
+    x = np.full(len(ends), NO_SEED)
+    h = np.zeros(len(ends), np.uint64)
+    h[of[short:]] = hash_kmers(np.minimum(forward, backward), k)
+    strand = np.zeros(len(ends), np.int32)
+    strand[of[short:]] = forward > backward
+    good = units & (run >= k) & (span < 256)
+    x[good] = h[good] << np.uint64(8) | span[good].astype(np.uint64)
+    places = np.flatnonzero(~twin)
+    if len(unknown):
+        at = places[walk_minima(x[places], run[places], w, k)]
+    else:
+        places = places[run[places] >= k]
+        at = places[window_minima(x[places], w)]
+        at = at[x[at] != NO_SEED]
+    return ends[at], h[at], span[at], strand[at]
 
 
 def syncmers(codes: np.ndarray, k: int, s: int) -> Sketch:
@@ -109,7 +176,7 @@ def randstrobes(codes: np.ndarray, k: int, w_min: int, w_max: int) -> Sketch:
     return np.arange(n), least.view(np.int64), np.minimum(gap + k, 255), (f > b)[:n].astype(np.int32)
 
 
-METHODS: dict[str, Callable[..., Sketch]] = {"minimizer": minimizers, "hpc": hpc_minimizers, "syncmer": syncmers, "randstrobe": randstrobes}
+METHODS: dict[str, Callable[..., Sketch]] = {"minimizer": minimizers, "hpc": partial(minimizers, hpc=True), "syncmer": syncmers, "randstrobe": randstrobes}
 
 
 def sketch(df: DataFrame, method: str = "minimizer", id_col: str = "id", seq_col: str = "seq", **parameters: int) -> DataFrame:
@@ -118,7 +185,10 @@ def sketch(df: DataFrame, method: str = "minimizer", id_col: str = "id", seq_col
     kept = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq")).where("seq is not null")
 
     def of(seq: str) -> Sketch:
-        codes = CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+        raw = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+        if method in ("minimizer", "hpc"):
+            return kind(raw, **parameters)
+        codes = CODE[raw]
         bad = np.flatnonzero(codes > 3)
         if not len(bad):
             return kind(codes, **parameters)

@@ -82,15 +82,16 @@ class Mapping:
     def hits(self, method: str = "dp") -> DataFrame:
         """Primary and secondary hits with parents and mapping quality."""
         o = self.options
-        found = select.assign_parents(self.chains(method), o.mask_level)
+        found = select.second_best(select.assign_parents(self.chains(method), o.mask_level))
         return select.mapping_quality(select.select_secondary(found, o.secondary_ratio, 2 * o.k, o.best_n), self.repetitive, o.min_chain_score)
 
     def paf(self, method: str = "dp") -> DataFrame:
-        """(id, rank, line): PAF without base alignment; matches and block length are bounds from the seeds' bases and the intervals."""
+        """(id, rank, line): PAF without base alignment; matches and block length follow from the chain's seeds, or are bounds from its interval if it is greedy."""
         q = self.reads.select("id", "qname", F.length("seq").alias("qlen"))
         t = self.targets.select(F.col("rid").cast("long").alias("rid"), "tname", F.length("seq").alias("tlen"))
-        block = F.greatest(F.col("qe") - F.col("qs"), F.col("re") - F.col("rs"))
-        rows = self.hits(method).join(q, "id").join(t, "rid").withColumn("blen", block).withColumn("mlen", F.least("score", "blen"))
+        rows = self.hits(method).join(q, "id").join(t, "rid")
+        if method == "greedy":
+            rows = rows.withColumn("blen", F.greatest(F.col("qe") - F.col("qs"), F.col("re") - F.col("rs"))).withColumn("mlen", F.least("score", "blen"))
         return records.paf(rows)
 
     def aligned(self) -> DataFrame:

@@ -261,7 +261,7 @@ def mate_fields(spark, sf_dir):
 
 @query()
 def second_best(spark, sf_dir):
-    return measures.second_best(select.assign_parents(mapping(spark, sf_dir, None).chains("greedy")))
+    return select.second_best(select.assign_parents(mapping(spark, sf_dir, None).chains("greedy")))
 
 
 @query()

@@ -27,8 +27,9 @@ def introns_of(bed: DataFrame) -> DataFrame:
 
 
 def read_junctions(spark: SparkSession, path: str) -> DataFrame:
-    """Introns of a BED file; of equal intervals one stays."""
-    return introns_of(_fields(spark, path)).dropDuplicates(["contig", "start", "end"])
+    """Introns of a BED file; of equal intervals one stays, that of the least strand and then score."""
+    first = F.min(F.struct("strand", "score")).alias("x")
+    return introns_of(_fields(spark, path)).groupBy("contig", "start", "end").agg(first).select("contig", "start", "end", "x.strand", "x.score")
 
 
 def jump_junctions(junctions: DataFrame, least_score: int = -1) -> DataFrame:

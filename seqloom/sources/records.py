@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def paf(hits: DataFrame) -> DataFrame:
-    """(id, rank, line) of hits(id, qname, qlen, qs, qe, rev, tname, tlen, rs, re, mlen, blen, mapq, cnt, score, rank, parent)."""
-    kind = F.when(F.col("rank") == F.col("parent"), "P").otherwise("S")
+    """(id, rank, line) of hits(id, qname, qlen, qs, qe, rev, tname, tlen, rs, re, mlen, blen, mapq, cnt, score, rank, parent, second, rep_len)."""
+    root = F.col("rank") == F.col("parent")
+    kind = F.when(root, "P").otherwise("S")
     fields = ["qname", "qlen", "qs", "qe", F.when(F.col("rev"), "-").otherwise("+"), "tname", "tlen", "rs", "re", "mlen", "blen", "mapq"]
-    tags = [F.concat(F.lit("tp:A:"), kind), F.concat(F.lit("cm:i:"), "cnt"), F.concat(F.lit("s1:i:"), "score")]
+    tags = [F.concat(F.lit("tp:A:"), kind), F.concat(F.lit("cm:i:"), "cnt"), F.concat(F.lit("s1:i:"), "score"), F.when(root, F.concat(F.lit("s2:i:"), "second")), F.concat(F.lit("rl:i:"), "rep_len")]
     return hits.select("id", "rank", F.concat_ws("\t", *[F.col(c) if isinstance(c, str) else c for c in fields], *tags).alias("line"))
 
 
@@ -18,7 +19,7 @@ def parse_paf(lines: DataFrame) -> DataFrame:
     """The twelve fields of PAF lines(line), and a map of tags."""
     f = F.split("line", "\t")
     names = [("qname", "string"), ("qlen", "long"), ("qs", "long"), ("qe", "long"), ("strand", "string"), ("tname", "string"), ("tlen", "long"), ("rs", "long"), ("re", "long"), ("matches", "long"), ("blen", "long"), ("mapq", "int")]
-    tags = F.map_from_entries(F.transform(F.slice(f, 13, 1000), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1_000_000))))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(13), F.greatest(F.size(f) - 12, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_replace(x, "^.{0,5}", ""))))
     return lines.select(*[F.get(f, i).cast(t).alias(n) for i, (n, t) in enumerate(names)], tags.alias("tags"))
 
 

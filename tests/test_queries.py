@@ -1,5 +1,6 @@
 """Each query against its SQL in DuckDB; the others against what they must keep."""
 
+import math
 import glob
 import os
 
@@ -7,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import pairwise
+from seqloom.operators import pairwise, select
 from seqloom.plans import queries as q
 from seqloom.sources import annotations, fastx, records
 
@@ -47,7 +48,7 @@ def test_global_alignments_score_as_their_cigars(spark, sf_dir):
 
 def test_paf_has_one_primary_first(spark, sf_dir):
     rows = q.paf_records(spark, sf_dir).collect()
-    assert rows and all(len(r.line.split("\t")) == 15 for r in rows)
+    assert rows and all(len(r.line.split("\t")) == (17 if "tp:A:P" in r.line else 16) for r in rows)
     assert all(("tp:A:P" in r.line) or r["rank"] > 0 for r in rows)
 
 
@@ -271,3 +272,23 @@ def test_read_hash_is_of_name_and_length():
     for c in name[1:]:
         h = (31 * h + ord(c)) & 0xFFFFFFFF
     assert read_hash([name, None], np.array([n, n])).tolist() == [wang(h ^ ((wang(n) + wang(11)) & 0xFFFFFFFF)), wang((wang(n) + wang(11)) & 0xFFFFFFFF)]
+
+
+def test_second_best_and_quality_come_before_hits_are_dropped(spark):
+    """By plain arithmetic; read 1's second hit is too weak to stay, yet counts for the first one's quality."""
+    rows = [(1, 0, 0, 200, 12), (1, 1, 0, 90, 12), (1, 2, 2, 60, 4), (2, 0, 0, 80, 6), (3, 0, 0, 150, 20), (3, 1, 0, 149, 25), (3, 2, 0, 148, 20)]
+    hits = spark.createDataFrame([(*r, 0, False, 7 * r[1], 7 * r[1] + 5, 0, 5) for r in rows], "id long, rank int, parent int, score int, cnt int, rid long, rev boolean, rs int, re int, qs int, qe int")
+    rep = spark.createDataFrame([(2, 50)], "id long, rep_len long")
+    full = select.second_best(hits)
+    out = {(x.id, x["rank"]): x for x in select.mapping_quality(select.select_secondary(full, 0.8, 38, 5), rep).collect()}
+    assert sorted(out) == [(1, 0), (1, 2), (2, 0), (3, 0), (3, 1), (3, 2)]
+    family = {(1, 0): (90, 1), (1, 2): (0, 0), (2, 0): (0, 0), (3, 0): (149, 2)}
+    total = {1: 260, 2: 80, 3: 150}
+    for i, rank, parent, score, cnt in rows:
+        if (i, rank) in out:
+            x, (second, subs) = out[i, rank], family.get((i, rank), (0, 0))
+            assert (x.second, x.n_sub) == (second, subs)
+            unique = total[i] / (total[i] + (50 if i == 2 else 0))
+            sure = min((1 if score > 100 else 0.01 * score) * unique, 1 if cnt > 10 else 0.1 * cnt)
+            q = int(sure * 40 * (1 - max(second, 40) / score) * math.log(score)) - int(4.343 * math.log(subs + 1) + 0.499)
+            assert x.mapq == (min(60, max(0, q)) if rank == parent else 0)
