@@ -194,11 +194,50 @@ def all_vs_all_anchors(spark, sf_dir):
     return seeds.all_vs_all(mapping(spark, sf_dir).target_seeds, t.select(F.col("rid").alias("id"), F.col("tname").alias("name")), OCC)
 
 
-CHAINS = f"""{ANCHORS}, g as (select *, ref_pos - lag(ref_pos) over w dr, query_pos - lag(query_pos) over w dq from a window w as (partition by id, rid, rev order by ref_pos, query_pos)),
+def chains_sql(anchors: str) -> str:
+    """Greedy chains h, and k with their rank, from CTEs that end in anchors a."""
+    return f"""{anchors}, g as (select *, ref_pos - lag(ref_pos) over w dr, query_pos - lag(query_pos) over w dq from a window w as (partition by id, rid, rev order by ref_pos, query_pos)),
 c as (select *, sum(case when coalesce(dr > 5000 or dq < 0 or dq > 5000 or abs(dr - dq) > 500, true) then 1 else 0 end) over (partition by id, rid, rev order by ref_pos, query_pos) chain from g),
 e as (select id, rid, rev, chain, any_value(len) len, cast(sum(span) as int) score, cast(count(*) as int) cnt, min_by(query_pos, (ref_pos, query_pos)) qa, min_by(ref_pos, (ref_pos, query_pos)) ra, max_by(query_pos, (ref_pos, query_pos)) qz, max_by(ref_pos, (ref_pos, query_pos)) rz from c group by id, rid, rev, chain),
 h as (select id, rid, rev, score, cnt, cast(case when rev then len - qz - 1 else qa - {K - 1} end as int) qs, cast(case when rev then len - qa + {K - 1} else qz + 1 end as int) qe, cast(greatest(ra - {K - 1}, 0) as int) rs, cast(rz + 1 as int) re from e where score >= 40 and cnt >= 3)"""
-RANKED = f"{CHAINS}, k as (select *, row_number() over (partition by id order by score desc, cnt desc, rid, rev, rs, qs) - 1 rank from h)"
+
+
+def ranked_sql(anchors: str) -> str:
+    return f"{chains_sql(anchors)}, k as (select *, row_number() over (partition by id order by score desc, cnt desc, rid, rev, rs, qs) - 1 rank from h)"
+
+
+CHAINS, RANKED = chains_sql(ANCHORS), ranked_sql(ANCHORS)
+
+#: Anchors by the targets' own cut-off and the choice among frequent seeds; x holds the reads' seeds with kept.
+OWN_ANCHORS = f"""with recursive {minimizers_sql(READS, 'q')}, {minimizers_sql(TARGETS, 't')}, o as (select hash, count(*) occ from tm group by hash),
+f as (select occ, row_number() over (order by occ) - 1 nth, count(*) over () n from o),
+m as (select least(greatest(occ + 1, {OPTIONS.min_mid_occ}), {OPTIONS.max_mid_occ}) most from f where nth = least(cast(floor((1 - cast({OPTIONS.mid_occ_fraction} as double)) * n) as bigint), n - 1)),
+y as (select q.*, occ, most, len(seq) len from qm q join o using (hash) join qs on qs.id = q.id, m),
+z as (select *, sum(case when occ > most then 0 else 1 end) over w run, max(case when occ <= most then pos end) over (w rows between unbounded preceding and 1 preceding) b, min(case when occ <= most then pos end) over (w rows between 1 following and unbounded following) e from y window w as (partition by id order by pos)),
+x as (select *, occ <= most or (occ <= {OPTIONS.max_occ} and row_number() over (partition by id, run, occ > most order by occ, pos) <= least(floor((coalesce(e, len) - coalesce(b, 0)) / cast({OPTIONS.occ_distance} as double) + 0.499), 128)) kept from z),
+a as (select x.id, len, t.id rid, x.strand <> t.strand rev, t.pos ref_pos, cast(case when x.strand <> t.strand then len - x.pos + {K - 2} else x.pos end as int) query_pos, {K} span from x join tm t using (hash) where kept)"""
+
+#: Hits with parents: one step a rank; i counts the hits settled, top holds the ranks that are their own parents and hide others.
+PARENTS = f"""{ranked_sql(OWN_ANCHORS)}, l as (select id, list({{'s': qs, 'e': qe}} order by rank) h from k group by id),
+walk(id, h, i, parents, top) as (
+  select id, h, 1, [0], [0] from l
+  union all select id, h, i + 1, list_append(parents, coalesce(under, i)), case when under is null and e > s then list_append(top, i) else top end from (
+    select *, list_filter(top, lambda p: least(e, h[p + 1].e) > greatest(s, h[p + 1].s)
+      and cast(least(e, h[p + 1].e) - greatest(s, h[p + 1].s) as float) / cast(least(h[p + 1].e - h[p + 1].s, e - s) as float) - cast(e - s - covered as float) / cast(greatest(h[p + 1].e - h[p + 1].s, e - s) as float) > cast(0.5 as float))[1] under
+    from (select *, h[i + 1].s s, h[i + 1].e e, len(list_distinct(flatten(list_transform(top, lambda p: range(greatest(h[i + 1].s, h[p + 1].s), least(h[i + 1].e, h[p + 1].e)))))) covered from walk where i < len(h)))),
+hits as (select k.* exclude (rank), cast(rank as int) rank, cast(parents[rank + 1] as int) parent from k join walk w on w.id = k.id and w.i = len(w.h)),
+best as (select *, case when rank = parent then coalesce(max(case when rank <> parent then score end) over w, 0) else 0 end as "second",
+  case when rank = parent then count(case when rank <> parent and cnt >= own then 1 end) over w else 0 end n_sub from (select *, max(case when rank = parent then cnt end) over (partition by id, parent) own from hits) window w as (partition by id, parent))"""
+
+#: Primary and secondary hits that stay, with mapq.
+QUALITY = f"""{PARENTS}, d as (select id, pos - {K - 1} s, pos + 1 e, max(pos + 1) over (partition by id order by pos rows between unbounded preceding and 1 preceding) reach from x where not kept),
+rep as (select id, sum(greatest(e - greatest(s, coalesce(reach, s)), 0)) rep_len from d group by id),
+near as (select c.*, c.rank = c.parent root, c.rank <> c.parent and (cast(c.score as float) >= cast(p.score as float) * cast({OPTIONS.secondary_ratio} as float) or c.score + {2 * K} >= p.score)
+  and (c.rid, c.rev, c.rs, c.re, c.qs, c.qe) <> (p.rid, p.rev, p.rs, p.re, p.qs, p.qe) fits from best c join best p on p.id = c.id and p.rank = c.parent),
+stay as (select * from near where root or fits qualify root or row_number() over (partition by id, fits order by rank) <= {OPTIONS.best_n}),
+u as (select stay.*, coalesce(rep_len, 0) rep_len, cast(sum(case when root then score end) over (partition by stay.id) as double) total from stay left join rep on rep.id = stay.id),
+v as (select *, least(case when score > 100 then 1e0 else 1e-2 * score end * total / (total + rep_len), case when cnt > 10 then 1e0 else 1e-1 * cnt end) * 4e1 * (1e0 - greatest("second", {OPTIONS.min_chain_score}) / cast(score as double)) * ln(cast(score as double)) q from u),
+quality as (select *, case when root then cast(least(greatest(trunc(q) - floor(4.343e0 * ln(n_sub + 1e0) + 4.99e-1), 0), 60) as int) else 0 end mapq from v)"""
 
 
 @query(f"{CHAINS} select * from h")
@@ -259,17 +298,23 @@ def mate_fields(spark, sf_dir):
     return measures.mate_fields(top.select(F.col("id").alias("frag"), F.col("rank").alias("seg"), F.concat(F.lit("b"), "rid").alias("tname"), "rev", "rs", "re"))
 
 
-@query()
+@query(f"{PARENTS} select id, rid, rev, score, cnt, qs, qe, rs, re, rank, parent, \"second\", n_sub from best")
 def second_best(spark, sf_dir):
     return select.second_best(select.assign_parents(mapping(spark, sf_dir, None).chains("greedy")))
 
 
+@query(f"{QUALITY} select id, rank, parent, rid, rev, score, cnt, \"second\", n_sub, cast(rep_len as bigint) rep_len, mapq from quality")
+def mapq_no_cigar(spark, sf_dir):
+    """Quality of greedy chains' hits."""
+    return mapping(spark, sf_dir, None).hits("greedy").select("id", "rank", "parent", "rid", "rev", "score", "cnt", "second", "n_sub", "rep_len", "mapq")
+
+
 @query()
 def dp_chain(spark, sf_dir):
     return mapping(spark, sf_dir, None).chains("dp").drop("anchors")
 
 
-@query()
+@query(f"{PARENTS} select * from hits")
 def parent_assignment(spark, sf_dir):
     return select.assign_parents(mapping(spark, sf_dir, None).chains("greedy"))
 
@@ -279,7 +324,8 @@ def paf_records(spark, sf_dir):
     return mapping(spark, sf_dir, None).paf("dp")
 
 
-@query()
+@query(f"""{QUALITY} select 'd' || q.id qname, cast(len(r.seq) as bigint) qlen, cast(qs as bigint) qs, cast(qe as bigint) qe, case when rev then '-' else '+' end strand, 'b' || rid tname, cast(len(t.seq) as bigint) tlen, cast(rs as bigint) rs, cast(re as bigint) re,
+  cast(least(score, greatest(qe - qs, re - rs)) as bigint) matches, cast(greatest(qe - qs, re - rs) as bigint) blen, mapq, cast(cnt as varchar) cm from quality q join qs r on r.id = q.id join ts t on t.id = q.rid""")
 def paf_parsed(spark, sf_dir):
     lines = mapping(spark, sf_dir, None).paf("greedy").select("line")
     return records.parse_paf(lines).select("qname", "qlen", "qs", "qe", "strand", "tname", "tlen", "rs", "re", "matches", "blen", "mapq", F.col("tags")["cm"].alias("cm"))
