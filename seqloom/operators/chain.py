@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +54,8 @@ def link_scores(dr: np.ndarray, dq: np.ndarray, span: np.ndarray, gap_pen: float
     return gain - np.where((gap > 0) | (near > span), (linear + f(0.5) * log).astype(np.int32), 0)
 
 
-def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, bandwidth: int, min_cnt: int, min_score: int, gap_pen: float, skip_pen: float, max_iter: int = 5000) -> list[tuple[int, list[int]]]:
-    """[(score, anchors' places)] of one read, target and strand; anchors are sorted by reference position.
-
-    Best predecessor by dynamic programming; then chains are read back from the best ends, each up to anchors already
-    used, and cut where the score has dropped by more than bandwidth from its peak.
-    """
+def best_links(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, bandwidth: int, gap_pen: float, skip_pen: float, max_iter: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """(best score, predecessor or -1) of each anchor by dynamic programming over those before it; of equals the nearest."""
     n = len(ref)
     best, before = span.astype(np.int64).copy(), np.full(n, -1)
     lo = np.searchsorted(ref, ref - max_dist, "left")
@@ -70,9 +67,15 @@ def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist:
         ok = np.flatnonzero((dq > 0) & (dq <= max_dist) & (dr > 0) & (np.abs(dr - dq) <= bandwidth))
         if len(ok):
             s = best[a + ok] + link_scores(dr[ok], dq[ok], span[a + ok], gap_pen, skip_pen)
-            k = len(s) - 1 - int(np.argmax(s[::-1]))  # of equals the nearest
+            k = len(s) - 1 - int(np.argmax(s[::-1]))
             if s[k] > best[i]:
                 best[i], before[i] = s[k], a + ok[k]
+    return best, before
+
+
+def read_chains(best: np.ndarray, before: np.ndarray, bandwidth: int, min_cnt: int, min_score: int) -> list[tuple[int, list[int]]]:
+    """[(score, anchors' places)]: read back from the best ends, each up to anchors already used, and cut where the score has dropped by more than bandwidth from its peak."""
+    n = len(best)
     used, out = np.zeros(n, bool), []
     for end in sorted(range(n), key=lambda i: (-best[i], -i)):
         if used[end] or best[end] < min_score:
@@ -98,45 +101,96 @@ def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist:
     return out
 
 
-def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, bandwidth: int = 500, min_cnt: int = 3, min_score: int = 40, gap_pen: float = 0.8 * 0.01 * 19, skip_pen: float = 0.0) -> DataFrame:
-    """Chains by dynamic programming, with mlen and blen (matches and block length by their seeds); each read, target and strand is a group of its own, so a
-    read's targets spread over tasks.
+def chain_group(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, bandwidth: int, min_cnt: int, min_score: int, gap_pen: float, skip_pen: float, max_iter: int = 5000, inner: int | None = None) -> list[tuple[int, list[int]]]:
+    """[(score, anchors' places)] of one read, target and strand; anchors are sorted by reference position. inner: chain by range minima, with that inner distance."""
+    if inner is None:
+        best, before = best_links(ref, query, span, max_dist, bandwidth, gap_pen, skip_pen, max_iter)
+    else:
+        best, before = rmq_scores(ref, query, span, max(max_dist, bandwidth), gap_pen, skip_pen, bandwidth, inner)
+    return read_chains(best, before, bandwidth, min_cnt, min_score)
 
-    anchors: the ends of a chain's seeds, (reference, query, span), on the strand of the chain.
-    """
+
+I32 = pa.int32()
+POINT = pa.struct([(c, I32) for c in ("ref_pos", "query_pos", "span")])
+ROW = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), ("score", I32), ("cnt", I32), ("qs", I32), ("qe", I32), ("rs", I32), ("re", I32), ("mlen", pa.int64()), ("blen", pa.int64()), ("anchors", pa.list_(POINT))])
+CHAINS = f"id long, {CHAIN}, mlen long, blen long, anchors array<struct<ref_pos: int, query_pos: int, span: int>>"
+
+
+def _rows(key: tuple, found: pa.Scalar, **options) -> Iterator[tuple]:
+    """Chains of one group: key is (id, rid, rev, read's length), found its anchors by place."""
+    ref, query, span = (found.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    read, rid, rev, n = key
+    for score, path in chain_group(ref, query, span, **options):
+        a, z = path[0], path[-1]
+        q0, q1 = int(query[a] + 1 - span[a]), int(query[z] + 1)
+        dr, dq = np.diff(ref[path]), np.diff(query[path])
+        mlen = int(span[a] + np.minimum(np.minimum(dr, dq), span[path[1:]]).sum())
+        blen = int(span[a] + np.maximum(dr, dq).sum())
+        where = (n - q1, n - q0) if rev else (q0, q1)
+        yield (read, rid, rev, score, len(path), *where, max(0, int(ref[a] + 1 - span[a])), int(ref[z] + 1), max(0, mlen), max(0, blen), [(int(ref[i]), int(query[i]), int(span[i])) for i in path])
+
+
+def _chained(groups: DataFrame, **options) -> DataFrame:
+    """Chains of groups(id, rid, rev, len, points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, found in zip(zip(*[b.column(k).to_pylist() for k in range(4)], strict=True), b.column(4), strict=True):
-                ref, query, span = (found.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                read, rid, rev, n = key
-                for score, path in chain_group(ref, query, span, max_dist, bandwidth, min_cnt, min_score, gap_pen, skip_pen):
-                    a, z = path[0], path[-1]
-                    q0, q1 = int(query[a] + 1 - span[a]), int(query[z] + 1)
-                    dr, dq = np.diff(ref[path]), np.diff(query[path])
-                    mlen = int(span[a] + np.minimum(np.minimum(dr, dq), span[path[1:]]).sum())
-                    blen = int(span[a] + np.maximum(dr, dq).sum())
-                    where = (n - q1, n - q0) if rev else (q0, q1)
-                    rows.append((read, rid, rev, score, len(path), *where, max(0, int(ref[a] + 1 - span[a])), int(ref[z] + 1), max(0, mlen), max(0, blen), [(int(ref[i]), int(query[i]), int(span[i])) for i in path]))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
-
-    bounded_batches(anchors.sparkSession)
-    point = pa.struct([(c, pa.int32()) for c in ("ref_pos", "query_pos", "span")])
-    i32 = pa.int32()
-    arrow = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), ("score", i32), ("cnt", i32), ("qs", i32), ("qe", i32), ("rs", i32), ("re", i32), ("mlen", pa.int64()), ("blen", pa.int64()), ("anchors", pa.list_(point))])
+                rows.extend(_rows(key, found, **options))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW.types, strict=True)], schema=ROW)
+
+    bounded_batches(groups.sparkSession)
+    return groups.select(F.col("id").cast("long").alias("id"), F.col("rid").cast("long").alias("rid"), "rev", "len", "points").mapInArrow(run, CHAINS)
+
+
+def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, bandwidth: int = 500, min_cnt: int = 3, min_score: int = 40, gap_pen: float = 0.8 * 0.01 * 19, skip_pen: float = 0.0, inner: int | None = None) -> DataFrame:
+    """Chains by dynamic programming, or by range minima if there is an inner distance, with mlen and blen (matches and block length by their
+    seeds); each read, target and strand is a group of its own, so a read's targets spread over tasks.
+
+    anchors: the ends of a chain's seeds, (reference, query, span), on the strand of the chain.
+    """
     # groups of too few anchors or bases make no chain: they never reach Python
     points = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("ref_pos", "query_pos", "span")]))).alias("points")
     groups = anchors.join(lengths, "id").groupBy("id", "rid", "rev", "len").agg(points, F.sum("span").alias("bases"))
-    groups = groups.where((F.size("points") >= min_cnt) & (F.col("bases") >= min_score)).select(F.col("id").cast("long").alias("id"), F.col("rid").cast("long").alias("rid"), "rev", "len", "points")
-    return groups.mapInArrow(run, f"id long, {CHAIN}, mlen long, blen long, anchors array<struct<ref_pos: int, query_pos: int, span: int>>")
+    groups = groups.where((F.size("points") >= min_cnt) & (F.col("bases") >= min_score))
+    return _chained(groups, max_dist=max_dist, bandwidth=bandwidth, min_cnt=min_cnt, min_score=min_score, gap_pen=gap_pen, skip_pen=skip_pen, inner=inner)
+
+
+def rescue_chains(chains: DataFrame, lengths: DataFrame, max_dist: int, bandwidth: int, min_cnt: int, min_score: int, gap_pen: float, skip_pen: float, inner: int, least_bare: int = 1000, least_share: float = 0.1) -> DataFrame:
+    """Chains of dp_chains, where reads of several chains are chained again, from the anchors of these, by range minima within a wider bandwidth.
+
+    So it is for reads whose first chain (by strand, target and place) leaves over least_bare bases or spans over least_share of the read. A read's
+    chains are written once to find these reads; the others' rows pass through.
+    """
+    first = F.min(F.struct("rev", "rid", F.get("anchors", 0)["ref_pos"].alias("at"), (F.get("anchors", F.size("anchors") - 1)["query_pos"] - F.get("anchors", 0)["query_pos"]).alias("span"))).over(Window.partitionBy("id"))
+    rows = chains.join(lengths, "id").withColumn("__span", first["span"]).withColumn("__n", F.count("*").over(Window.partitionBy("id")))
+    wide = (F.col("__n") > 1) & ((F.col("len") - F.col("__span") > least_bare) | (F.col("__span") > F.floor(F.col("len") * F.lit(least_share))))
+    # a row that stays is a group of its own, by its first anchor, which no other chain has
+    key = F.when(~wide, F.get("anchors", 0)).alias("__own")
+    whole = F.struct(*[F.col(c) for c in chains.columns])
+    groups = rows.select("id", "rid", "rev", "len", "anchors", key, whole.alias("__row")).groupBy("id", "rid", "rev", "len", "__own").agg(F.sort_array(F.flatten(F.collect_list("anchors"))).alias("points"), F.first("__row").alias("__row"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            stay = b.column(4).is_valid()
+            for key, found in zip(zip(*[b.column(k).filter(pc.invert(stay)).to_pylist() for k in range(4)], strict=True), b.column(5).filter(pc.invert(stay)), strict=True):
+                rows.extend(_rows(key, found, max_dist=max_dist, bandwidth=bandwidth, min_cnt=min_cnt, min_score=min_score, gap_pen=gap_pen, skip_pen=skip_pen, inner=inner))
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.column(6).filter(stay).flatten(), ROW.types, strict=True)], schema=ROW)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW.types, strict=True)], schema=ROW)
 
-def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, gap_pen: float) -> tuple[np.ndarray, np.ndarray]:
+    bounded_batches(chains.sparkSession)
+    return groups.select("id", "rid", "rev", "len", "__own", "points", "__row").mapInArrow(run, CHAINS)
+
+
+def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: int, gap_pen: float, skip_pen: float = 0.0, bandwidth: int | None = None, inner: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(best score, predecessor) with costs that only depend on both ends' diagonals, so the best predecessor is a range minimum.
 
-    Anchors wait in a segment tree by query position; one that lies over max_dist back on the reference has been removed.
+    Anchors wait in a segment tree by query position; one that lies over max_dist back on the reference has been removed. Unless the best one
+    follows without any cost, all within `inner` bases on both sequences are tried by their true scores. No link shifts by over bandwidth.
     """
     n = len(ref)
     order = np.argsort(query, kind="stable")
@@ -164,7 +218,8 @@ def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: i
             a, z = a >> 1, z >> 1
         return out
 
-    best, before, old, waiting = span.astype(float).copy(), np.full(n, -1), 0, 0
+    best, before, old, waiting = span.astype(np.int64).copy(), np.full(n, -1), 0, 0
+    near = np.searchsorted(ref, ref - inner, "left")
     for i in range(n):
         while waiting < i and ref[waiting] < ref[i]:
             put(waiting, (-(best[waiting] + 0.5 * gap_pen * (ref[waiting] + query[waiting])), waiting))
@@ -173,8 +228,19 @@ def rmq_scores(ref: np.ndarray, query: np.ndarray, span: np.ndarray, max_dist: i
             put(old, (np.inf, -1))
             old += 1
         _, j = least(np.searchsorted(sorted_query, query[i] - max_dist, "left"), np.searchsorted(sorted_query, query[i], "left"))
-        if j >= 0:
-            s = best[j] + float(link_scores(np.array([ref[i] - ref[j]]), np.array([query[i] - query[j]]), span[j : j + 1], gap_pen, 0.0)[0])
-            if s > best[i]:
-                best[i], before[i] = s, j
+        if j < 0:
+            continue
+        dr, dq = int(ref[i] - ref[j]), int(query[i] - query[j])
+        gain = int(link_scores(np.array([dr]), np.array([dq]), span[j : j + 1], gap_pen, skip_pen)[0])
+        if (bandwidth is None or abs(dr - dq) <= bandwidth) and best[j] + gain > best[i]:
+            best[i], before[i] = best[j] + gain, j
+        if inner and (dr != dq or min(dr, dq) > span[j]):
+            a, z = near[i], waiting
+            x, y = ref[i] - ref[a:z], query[i] - query[a:z]
+            ok = np.flatnonzero((x > 0) & (y > 0) & (y <= inner) & (np.abs(x - y) <= (max_dist if bandwidth is None else bandwidth)))
+            if len(ok):
+                s = best[a + ok] + link_scores(x[ok], y[ok], span[a + ok], gap_pen, skip_pen)
+                k = len(s) - 1 - int(np.argmax(s[::-1]))
+                if s[k] > best[i]:
+                    best[i], before[i] = s[k], a + ok[k]
     return best, before

@@ -33,6 +33,10 @@ class MapOptions:
     end_bonus: int = -1
     max_fragment: int = 800
     rmq: bool = False
+    inner_distance: int = 1000
+    strand: str = "both"
+    max_query_length: int = 0
+    max_clip: float = 1.0
     splice: bool = False
     short_reads: bool = False
     all_chains: bool = False

@@ -32,7 +32,9 @@ class Mapping:
 
     @cached_property
     def read_seeds(self) -> DataFrame:
-        return self._sketch(self.reads, "id")
+        """Seeds of the reads that are not longer than max_query_length, if that is set."""
+        most = self.options.max_query_length
+        return self._sketch(self.reads.where(F.length("seq") <= most) if most else self.reads, "id")
 
     @cached_property
     def target_seeds(self) -> DataFrame:
@@ -55,25 +57,46 @@ class Mapping:
 
     @cached_property
     def chosen(self) -> DataFrame:
-        """The reads' seeds that targets have, with occ and kept."""
+        """The reads' seeds that targets have, with occ and kept; without those that repeat within a read."""
         o = self.options
+        own = seeds.drop_repeats_in_query(self.read_seeds, self.most, o.query_occ_fraction) if self.occ_limit is None and o.query_occ_fraction > 0 else self.read_seeds
         distance = o.occ_distance if self.occ_limit is None else 0
-        return seeds.choose_seeds(self.read_seeds, seeds.occurrences(self.target_seeds), self.lengths, self.most, o.max_occ, distance)
+        return seeds.choose_seeds(own, seeds.occurrences(self.target_seeds), self.lengths, self.most, o.max_occ, distance)
 
     @cached_property
     def anchors(self) -> DataFrame:
+        """Matches of seeds; with no_dual only where the read's name is not after the target's, with no_diagonal without a read's match with itself in place."""
+        o = self.options
         if self.occ_limit is not None:
-            return seeds.anchors(self.read_seeds, self.index, self.lengths, self.most)
-        return seeds.anchors(self.chosen.where("kept").drop("occ", "kept"), self.index, self.lengths, max(self.most, self.options.max_occ))
+            found = seeds.anchors(self.read_seeds, self.index, self.lengths, self.most)
+        else:
+            found = seeds.anchors(self.chosen.where("kept").drop("occ", "kept"), self.index, self.lengths, max(self.most, o.max_occ))
+        if not (o.no_dual or o.no_diagonal):
+            return found
+        columns = found.columns
+        found = found.join(self.reads.select("id", F.col("qname").alias("__q"), F.length("seq").alias("__n")), "id").join(self.targets.select("rid", F.col("tname").alias("__t"), F.length("seq").alias("__m")), "rid")
+        if o.no_dual:
+            found = found.where("__q <= __t")
+        if o.no_diagonal:
+            found = found.where("not (__q = __t and __n = __m and not rev and ref_pos = query_pos)")
+        return found.select(columns)
 
     def chains(self, method: str = "dp") -> DataFrame:
+        """method greedy; or dp: dynamic programming or, as the options say, range minima, and again within bandwidth_long for reads of several chains."""
         o = self.options
+        if o.strand not in ("both", "forward", "reverse"):
+            raise ValueError("strand is both, forward or reverse")
         if method == "greedy":
             c = chain.greedy_chains(self.anchors, self.lengths, o.max_gap, o.bandwidth)
-            return c.where((F.col("score") >= o.min_chain_score) & (F.col("cnt") >= o.min_cnt))
-        if o.rmq:
-            raise NotImplementedError("these options ask for range-minimum chaining, which the mapping plan does not have; set rmq=False for dynamic programming")
-        return chain.dp_chains(self.anchors, self.lengths, o.max_gap, o.bandwidth, o.min_cnt, o.min_chain_score, o.gap_penalty, o.skip_penalty)
+            c = c.where((F.col("score") >= o.min_chain_score) & (F.col("cnt") >= o.min_cnt))
+        else:
+            if o.splice:
+                raise NotImplementedError("these options ask for splice-aware chaining and alignment, which the mapping plan does not have")
+            costs = (o.min_cnt, o.min_chain_score, o.gap_penalty, o.skip_penalty)
+            c = chain.dp_chains(self.anchors, self.lengths, o.max_gap, o.bandwidth, *costs, inner=o.inner_distance if o.rmq else None)
+            if o.bandwidth_long > o.bandwidth and not o.short_reads:
+                c = chain.rescue_chains(c, self.lengths, o.max_gap, o.bandwidth_long, *costs, inner=o.inner_distance)
+        return c if o.strand == "both" else c.where(F.col("rev") == F.lit(o.strand == "reverse"))
 
     @cached_property
     def repetitive(self) -> DataFrame:
@@ -82,6 +105,9 @@ class Mapping:
     def hits(self, method: str = "dp") -> DataFrame:
         """Primary and secondary hits with parents and mapping quality."""
         o = self.options
+        if o.all_chains:  # each hit is primary
+            found = select.rank_hits(self.chains(method))
+            return select.mapping_quality(select.second_best(found.withColumn("parent", F.col("rank"))), self.repetitive, o.min_chain_score)
         found = select.second_best(select.assign_parents(self.chains(method), o.mask_level))
         return select.mapping_quality(select.select_secondary(found, o.secondary_ratio, 2 * o.k, o.best_n), self.repetitive, o.min_chain_score)
 

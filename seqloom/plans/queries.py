@@ -212,7 +212,8 @@ CHAINS, RANKED = chains_sql(ANCHORS), ranked_sql(ANCHORS)
 OWN_ANCHORS = f"""with recursive {minimizers_sql(READS, 'q')}, {minimizers_sql(TARGETS, 't')}, o as (select hash, count(*) occ from tm group by hash),
 f as (select occ, row_number() over (order by occ) - 1 nth, count(*) over () n from o),
 m as (select least(greatest(occ + 1, {OPTIONS.min_mid_occ}), {OPTIONS.max_mid_occ}) most from f where nth = least(cast(floor((1 - cast({OPTIONS.mid_occ_fraction} as double)) * n) as bigint), n - 1)),
-y as (select q.*, occ, most, len(seq) len from qm q join o using (hash) join qs on qs.id = q.id, m),
+r as (select * from (select *, count(*) over (partition by id, hash) same, count(*) over (partition by id) every from qm), m where not (every > most and same > most and same > floor(every * cast({OPTIONS.query_occ_fraction} as double)))),
+y as (select q.* exclude (same, every), occ, len(seq) len from r q join o using (hash) join qs on qs.id = q.id),
 z as (select *, sum(case when occ > most then 0 else 1 end) over w run, max(case when occ <= most then pos end) over (w rows between unbounded preceding and 1 preceding) b, min(case when occ <= most then pos end) over (w rows between 1 following and unbounded following) e from y window w as (partition by id order by pos)),
 x as (select *, occ <= most or (occ <= {OPTIONS.max_occ} and row_number() over (partition by id, run, occ > most order by occ, pos) <= least(floor((coalesce(e, len) - coalesce(b, 0)) / cast({OPTIONS.occ_distance} as double) + 0.499), 128)) kept from z),
 a as (select x.id, len, t.id rid, x.strand <> t.strand rev, t.pos ref_pos, cast(case when x.strand <> t.strand then len - x.pos + {K - 2} else x.pos end as int) query_pos, {K} span from x join tm t using (hash) where kept)"""

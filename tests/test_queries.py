@@ -147,17 +147,38 @@ def test_ends_are_extended_as_far_as_gaps_are_allowed():
         assert basealign.extend(a, b, sc, 5000) == (got[2], got[4], got[5])
 
 
-@pytest.mark.parametrize("name", ["asm5", "asm10", "asm20", "lr:hqae"])
-def test_presets_of_range_minimum_chaining_are_refused(spark, sf_dir, name):
+def test_options_of_the_plan(spark):
+    """Range-minimum presets map; long gaps join by the wider bandwidth; strands, read lengths and all-vs-all follow the options; splice presets are refused."""
+    import random
     from dataclasses import replace
 
     from seqloom.plans.config import preset
     from seqloom.plans.mapping import Mapping
 
-    m = Mapping(q.reads(spark, sf_dir), q.targets(spark, sf_dir), preset(name))
-    with pytest.raises(NotImplementedError, match="range-minimum"):
-        m.paf()
-    Mapping(m.reads, m.targets, replace(preset(name), rmq=False), 10).chains()
+    r = random.Random(21)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    t = dna(6000)
+    back = t[1000:3000][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = spark.createDataFrame([(1, "a", t[:2500] + t[3700:]), (2, "b", back), (3, "c", t[100:1100])], "id long, qname string, seq string")
+    targets = spark.createDataFrame([(0, "t", t)], "rid long, tname string, seq string")
+    on = lambda o: sorted((x.id, x.rev, x.rs, x.re) for x in Mapping(reads, targets, o).chains().collect())
+    near = lambda got, want: len(got) == len(want) and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 60 and abs(g[3] - w[3]) < 60 for g, w in zip(got, want, strict=True))
+    joined = [(1, False, 0, 6000), (2, True, 1000, 3000), (3, False, 100, 1100)]
+    split = [(1, False, 0, 2500), (1, False, 3700, 6000), *joined[1:]]
+    base = preset("map-ont")
+    assert near(on(replace(base, bandwidth_long=500)), split) and near(on(base), joined)
+    assert near(on(replace(base, rmq=True, bandwidth_long=500)), split)
+    for name in ("asm5", "asm10", "asm20"):
+        assert near(on(preset(name)), joined)
+    assert near(on(replace(base, strand="reverse")), joined[1:2]) and near(on(replace(base, strand="forward")), [joined[0], joined[2]])
+    assert {x[0] for x in on(replace(base, max_query_length=2000))} == {2, 3}
+    with pytest.raises(NotImplementedError, match="splice"):
+        on(preset("splice"))
+    with pytest.raises(ValueError):
+        on(replace(base, strand="up"))
+    own = reads.select(F.col("id").alias("rid"), F.col("qname").alias("tname"), "seq")
+    pairs = {(x.id, x.rid) for x in Mapping(reads, own, preset("ava-ont")).hits().collect()}
+    assert pairs == {(1, 2), (1, 3)}
 
 
 def test_fastx_parser():
