@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nucleotide import revcomp
+from ..functions.nucleotide import log2_fast, revcomp
 from ..session import bounded_batches
-from .pairwise import Scoring, align, cigar_ops, cigar_stats, cs_tag, md_tag, score_of_cigar
+from .pairwise import Scoring, align, cigar_ops, cigar_stats, cs_tag, md_tag, score_of_cigar, segment_max
 
 #: Seeds nearer than this to the last one used are passed over.
 SPACING = 64
@@ -62,13 +63,15 @@ def align_chain(query: str, target: str, anchors: list[tuple[int, int, int]], sc
     return qs, q + dq, ts, t + dt, joined([*parts, right])
 
 
-ALIGNED = "id long, rank int, parent int, rid long, rev boolean, qname string, qlen int, qs int, qe int, tname string, tlen int, rs int, re int, mapq int, cnt int, score int, as_ int, nm int, mlen int, blen int, nn int, de double, cigar string, md string, cs string, seq string, qual string"
+ALIGNED = "id long, rid long, rev boolean, qname string, qlen int, qs int, qe int, tname string, tlen int, rs int, re int, cnt int, score int, as_ int, dp_max int, nm int, mlen int, blen int, nn int, gap_bases int, gaps int, log_gaps double, de double, cigar string, md string, cs string"
 
 
 def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(), max_gap: int = 5000) -> DataFrame:
-    """Hits with anchors, with their base-level alignment and what follows from it. reads(id, qname, seq[, qual]); targets(rid, tname, seq)."""
-    qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string")
-    q = reads.select("id", "qname", "seq", qual.alias("qual"))
+    """Chains with anchors, with their base-level alignment and what follows from it. reads(id, qname, seq); targets(rid, tname, seq).
+
+    as_ is the alignment's score, dp_max that of its best stretch with gaps by their logarithm.
+    """
+    q = reads.select("id", "qname", "seq")
     t = targets.select(F.col("rid").cast("long").alias("rid"), "tname", F.col("seq").alias("tseq"))
     rows = hits.join(q, "id").join(t, "rid").withColumn("oriented", F.when(F.col("rev"), revcomp(F.col("seq"))).otherwise(F.upper("seq")))
     names = [x.split()[0] for x in ALIGNED.split(", ")]
@@ -81,9 +84,13 @@ def align_hits(hits: DataFrame, reads: DataFrame, targets: DataFrame, scoring: S
                 anchors = [(a["ref_pos"], a["query_pos"], a["span"]) for a in h.anchors]
                 qs, qe, ts, te, cigar = align_chain(h.oriented, target, anchors, scoring, max_gap)
                 s = cigar_stats(cigar, h.oriented, target, qs, ts)
-                n = len(h.seq)
-                out.append((h.id, h.rank, h.parent, h.rid, h.rev, h.qname, n, *((n - qe, n - qs) if h.rev else (qs, qe)), h.tname, len(target), ts, te, h.mapq, h.cnt, h.score, score_of_cigar(cigar, h.oriented, target, scoring, qs, ts), s["nm"], s["matches"], s["block_len"], s["nn"], s["de"], cigar, md_tag(cigar, h.oriented, target, qs, ts), cs_tag(cigar, h.oriented, target, qs, ts), h.seq, h.qual))
+                n = len(h.oriented)
+                gaps = [k for k, op in cigar_ops(cigar) if op in "ID"]
+                out.append((h.id, h.rid, h.rev, h.qname, n, *((n - qe, n - qs) if h.rev else (qs, qe)), h.tname, len(target), ts, te, h.cnt, h.score, score_of_cigar(cigar, h.oriented, target, scoring, qs, ts), segment_max(cigar, h.oriented, target, scoring, qs, ts), s["nm"], s["matches"], s["block_len"], s["nn"], sum(gaps), len(gaps), float(log2_fast(np.array(gaps) + 1).sum()) if gaps else 0.0, s["de"], cigar, md_tag(cigar, h.oriented, target, qs, ts), cs_tag(cigar, h.oriented, target, qs, ts)))
             yield pd.DataFrame(out, columns=names)
 
-    bounded_batches(hits.sparkSession)
-    return rows.select("id", "rank", "parent", "rid", "rev", "qname", "seq", "qual", "tname", "tseq", "oriented", "mapq", "cnt", "score", "anchors").mapInPandas(run, ALIGNED)
+    spark = hits.sparkSession
+    bounded_batches(spark)
+    # alignment is heavy for few bytes: a shuffle of that size keeps tasks apart that adaptive execution would merge
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "rid")
+    return rows.select("id", "rid", "rev", "qname", "tname", "tseq", "oriented", "cnt", "score", "anchors").mapInPandas(run, ALIGNED)

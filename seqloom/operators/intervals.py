@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,35 @@ def points_within(intervals: DataFrame, points: DataFrame, key: str, width: int
     return binned(intervals, F.col("o_start"), F.col("o_end"), width).join(p, [key, "__bin"]).where("o_start <= at and at < o_end").drop("__bin")
 
 
+def highest_within(intervals: DataFrame, points: DataFrame, key: str, score: str, width: int = 16384) -> DataFrame:
+    """(interval's columns, at, score): of the points(key, at, score) in each interval the highest score at every position."""
+    return points_within(intervals, points, key, width).groupBy(*intervals.columns, "at").agg(F.max(score).alias(score))
+
+
+def pair_quality(first: DataFrame, second: DataFrame, max_gap: int, match: int = 2, sub_diff: int = 8) -> DataFrame:
+    """Best pair of each fragment as in pair_hits, with the quality of both hits drawn towards the pair's.
+
+    first and second: (frag, rid, rev, rs, re, score, mapq). The pair's quality is the better of both, at most what its lead over the
+    second pair allows, less for each pair within sub_diff of it. A hit below it takes four fifths of it; a pair without an equal leaves no hit at 0.
+    """
+    columns = ("rev", "rs", "re", "score", "mapq")
+    a = first.select("frag", "rid", *[F.col(c).alias(f"{c}1") for c in columns])
+    b = second.select("frag", "rid", *[F.col(c).alias(f"{c}2") for c in columns])
+    total = F.col("score1") + F.col("score2")
+    pairs = a.join(b, ["frag", "rid"]).where((F.col("rev1") != F.col("rev2")) & (F.greatest("rs1", "rs2") - F.least("re1", "re2") <= max_gap)).withColumn("pair_score", total)
+    order = Window.partitionBy("frag").orderBy(F.desc("pair_score"), "rid", "rs1", "rs2", F.desc("rev1"), F.desc("re1"), F.desc("re2"))
+    all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = F.first("pair_score").over(all_)
+    rows = pairs.withColumns({"__nth": F.row_number().over(order), "__next": F.nth_value("pair_score", 2).over(all_), "__top": top})
+    rows = rows.withColumn("__subs", F.count_if(F.col("pair_score") + sub_diff >= F.col("__top")).over(all_)).where("__nth = 1")
+    lead = F.col("__top") - F.col("__next")
+    allowed = (6.02 * lead / F.lit(float(match)) - 4.343 * F.log(F.col("__subs").cast("double"))).cast("int")
+    pair = F.least(F.greatest("mapq1", "mapq2"), F.coalesce(allowed, F.greatest("mapq1", "mapq2")))
+    least = F.when(F.col("__next").isNull(), 2).when(lead > 0, 1).otherwise(0)
+    drawn = lambda q: F.greatest(F.when(F.col(q) < F.col("__pair"), (0.2 * F.col(q) + 0.8 * F.col("__pair") + 0.499).cast("int")).otherwise(F.col(q)), least)
+    return rows.withColumn("__pair", pair).select("frag", "rid", "rev1", "rs1", "re1", "rs2", "re2", "pair_score", drawn("mapq1").alias("mapq1"), drawn("mapq2").alias("mapq2"))
+
+
 def pair_hits(first: DataFrame, second: DataFrame, max_gap: int) -> DataFrame:
     """Hits of a fragment's two reads on one target, on opposite strands, whose span leaves at most max_gap bases between them.
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_hits(chains: DataFrame) -> DataFrame:
-    """With rank from 0: by score, then number of anchors, then place."""
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("cnt"), "rid", "rev", "rs", "qs")
+def rank_hits(chains: DataFrame, by: str = "score") -> DataFrame:
+    """With rank from 0: by score (or another column), then number of anchors, then place."""
+    w = Window.partitionBy("id").orderBy(F.desc(by), F.desc("cnt"), "rid", "rev", "rs", "qs")
     return chains.withColumn("rank", F.row_number().over(w) - 1)
 
 
@@ -47,9 +47,9 @@ def parents_of(qs: np.ndarray, qe: np.ndarray, mask_level: float, mask_len: int)
     return out
 
 
-def assign_parents(chains: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1) -> DataFrame:
+def assign_parents(chains: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1, by: str = "score") -> DataFrame:
     """Ranked chains with parent, the rank of the hit that hides it. A read's hits are one row of arrays on their way to Python and back."""
-    ranked = rank_hits(chains)
+    ranked = rank_hits(chains, by)
 
     @F.pandas_udf("array<int>")
     def parents(qs: pd.Series, qe: pd.Series) -> pd.Series:
@@ -83,6 +83,13 @@ def select_secondary(hits: DataFrame, ratio: float = 0.8, min_diff: int = 38, be
     return both.where(primary | F.col("__kept")).withColumn("__nth", nth).where(primary | (F.col("__nth") <= best_n)).drop("__parent", "__kept", "__nth")
 
 
+def long_enough(hits: DataFrame, min_cnt: int, min_matches: int, min_dp_score: int, max_clip: float = 1.0) -> DataFrame:
+    """Aligned hits(cnt, mlen, dp_max, qs, qe, qlen) with enough anchors, matches and score; of those clipped at both ends, by more than max_clip of the read, none."""
+    clip = F.col("qlen").cast("float") * F.lit(max_clip).cast("float")
+    clipped = (F.col("qs") > clip) & (F.col("qlen") - F.col("qe") > clip)
+    return hits.where((F.col("cnt") >= min_cnt) & (F.col("mlen") >= min_matches) & (F.col("dp_max") >= min_dp_score) & ~clipped)
+
+
 def mapping_quality(hits: DataFrame, repetitive: DataFrame, min_score: int = 40) -> DataFrame:
     """Hits of a read, with second and n_sub as second_best gave them before any was dropped, with mapq as for chains without base alignment, and rep_len.
 

@@ -121,11 +121,29 @@ class Mapping:
         return records.paf(rows)
 
     def aligned(self) -> DataFrame:
-        """Hits with base-level alignments, less those whose score or matches are too few."""
+        """Hits with base-level alignments, ranked by their score, less those whose anchors, score or matches are too few; quality follows from chains and alignments.
+
+        Scores of reads of 500 bases and more are fitted to the best hit's divergence, and hits are sifted again.
+        """
         o = self.options
-        found = basealign.align_hits(self.hits("dp"), self.reads, self.targets, o.scoring, o.max_gap)
-        return found.where((F.col("as_") >= o.min_dp_score) & (F.col("mlen") >= o.min_chain_score))
+        enough = (o.min_cnt, o.min_chain_score, o.min_dp_score, o.max_clip)
+        found = select.long_enough(basealign.align_hits(self.hits("dp"), self.reads, self.targets, o.scoring, o.max_gap), *enough)
+        if not (o.short_reads or o.all_chains):
+            fitted = select.rescale_scores(select.rank_hits(found.withColumn("__old", F.col("dp_max")), "dp_max"), o.scoring.match, o.scoring.mismatch).drop("rank")
+            found = select.long_enough(fitted.withColumn("dp_max", F.when(F.col("qlen") >= 500, F.col("dp_max")).otherwise(F.col("__old"))).drop("__old"), *enough)
+        if o.all_chains:
+            found = select.rank_hits(found, "dp_max").withColumn("parent", F.col("rank"))
+        else:
+            found = select.assign_parents(found, o.mask_level, by="dp_max")
+        found = select.mapping_quality_aligned(select.second_best(found), self.repetitive, o.scoring.match, o.min_chain_score)
+        found = found.join(self.repetitive, "id", "left").withColumn("rep_len", F.coalesce("rep_len", F.lit(0).cast("long")))
+        return found if o.all_chains else select.select_secondary(found, o.secondary_ratio, 2 * o.k, o.best_n)
+
+    def paf_aligned(self) -> DataFrame:
+        """(id, rank, line): PAF with base alignment."""
+        return records.paf_aligned(self.aligned())
 
     def sam(self) -> DataFrame:
         """(id, rank, flag, line): SAM lines of aligned hits."""
-        return records.sam(self.aligned())
+        qual = F.col("qual") if "qual" in self.reads.columns else F.lit(None).cast("string")
+        return records.sam(records.with_others(self.aligned()).join(self.reads.select("id", "seq", qual.alias("qual")), "id"))

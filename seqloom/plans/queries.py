@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from ..functions import nucleotide as nt
 from ..operators import intervals, measures, pairwise, seeds, select, sketch
 from ..session import shared_path
@@ -332,9 +333,37 @@ def paf_parsed(spark, sf_dir):
     return records.parse_paf(lines).select("qname", "qlen", "qs", "qe", "strand", "tname", "tlen", "rs", "re", "matches", "blen", "mapq", F.col("tags")["cm"].alias("cm"))
 
 
+#: Anchors among the targets by name, none of a target with itself in place.
+BOTH = f"""with {minimizers_sql(TARGETS, 't')}, o as (select *, count(*) over (partition by hash) occ from tm),
+a as (select q.id, len(s.seq) len, o.id rid, q.strand <> o.strand rev, o.pos ref_pos, cast(case when q.strand <> o.strand then len(s.seq) - q.pos + {K - 2} else q.pos end as int) query_pos, {K} span from tm q join o using (hash) join ts s on s.id = q.id
+  where occ <= {OCC} and 'b' || q.id <= 'b' || o.id and not (q.id = o.id and q.strand = o.strand and q.pos = o.pos))"""
+
+
+def _against_themselves(spark, sf_dir) -> Mapping:
+    t = targets(spark, sf_dir)
+    own = t.select(F.col("rid").cast("long").alias("id"), F.col("tname").alias("qname"), "seq")
+    return Mapping(own, t, replace(OPTIONS, all_chains=True, no_dual=True, no_diagonal=True), OCC)
+
+
 @query()
 def aligned_hits(spark, sf_dir):
-    return mapping(spark, sf_dir, None).aligned().drop("seq", "qual")
+    return mapping(spark, sf_dir, None).aligned()
+
+
+@query()
+def paf_cigar_records(spark, sf_dir):
+    return mapping(spark, sf_dir, None).paf_aligned()
+
+
+@query(f"""{BOTH} select id, rid, rev, ref_pos, query_pos, span from a""")
+def all_vs_all_mapping_anchors(spark, sf_dir):
+    return _against_themselves(spark, sf_dir).anchors
+
+
+@query(f"{chains_sql(BOTH)} select * from h")
+def all_vs_all_chains(spark, sf_dir):
+    """Targets against one another, each pair once."""
+    return _against_themselves(spark, sf_dir).chains("greedy")
 
 
 @query()
@@ -450,3 +479,66 @@ def junction_introns(spark, sf_dir):
 @query("with c as (select length(text) n from documents) select count(*) reads, cast(sum(n) as bigint) bases, max(n) longest from c")
 def run_summary(spark, sf_dir):
     return _table(spark, sf_dir, "documents").agg(F.count("*").alias("reads"), F.sum(F.length("text")).alias("bases"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("select l_orderkey, l_linenumber, case when length(n) >= 3 then regexp_replace(n, '/[0-9]$', '') else n end as name from (select l_orderkey, l_linenumber, case when l_linenumber = 1 then '/' || (l_partkey % 10) else 'r' || l_orderkey || '/' || l_linenumber end n from lineitem)")
+def name_trim(spark, sf_dir):
+    n = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("/"), F.col("l_partkey") % 10)).otherwise(F.concat(F.lit("r"), "l_orderkey", F.lit("/"), "l_linenumber"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", nt.name_suffix_trimmed(n).alias("name"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, [cast(l_quantity as bigint), l_linenumber, l_partkey % 9 + 1, l_suppkey % 7 + 1] n from lineitem)
+select l_orderkey, l_linenumber, cast(4 as int) runs, list_aggregate([n[1] * 16, n[2] * 16 + 1, n[3] * 16 + 2, n[4] * 16 + 8], 'string_agg', ',') packed, n[1] + n[2] + n[4] query_bases, n[1] + n[3] + n[4] target_bases, n[2] + n[3] gap_bases, cast(2 as int) gaps from c""")
+def cigar_measures(spark, sf_dir):
+    """Runs, packed runs, bases of both sequences and gaps of CIGARs of four runs each."""
+    text = F.concat(F.col("l_quantity").cast("long"), F.lit("M"), "l_linenumber", F.lit("I"), F.col("l_partkey") % 9 + 1, F.lit("D"), F.col("l_suppkey") % 7 + 1, F.lit("X"))
+    c = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("c"))
+    x = F.col("c")
+    return c.select("l_orderkey", "l_linenumber", cigar.run_count(x).alias("runs"), F.array_join(cigar.packed_runs(x).cast("array<string>"), ",").alias("packed"), cigar.bases_of(x, "MIS=X").alias("query_bases"), cigar.bases_of(x, "MDN=X").alias("target_bases"), cigar.bases_of(x, "ID").alias("gap_bases"), cigar.gap_opens(x).alias("gaps"))
+
+
+@query(f"""with {minimizers_sql(READS, 'q')}, o as (select hash, count(*) occ from qm group by hash), r as (select occ, row_number() over (order by occ) - 1 k, count(*) over () n from o)
+select cast(greatest(occ + 1, 10) as bigint) mid_occ from r where k = least(cast(floor((1 - cast(2e-4 as double)) * n) as bigint), n - 1)""")
+def sharded_cutoff(spark, sf_dir):
+    """The cut-off of the whole from counts that each shard (a remainder of the id) made by itself."""
+    s = mapping(spark, sf_dir).read_seeds
+    counted = s.groupBy((F.col("id") % 4).alias("shard"), "hash").agg(F.count("*").alias("n"))
+    return seeds.mid_occ(counted.groupBy("hash").agg(F.sum("n").alias("occ")))
+
+
+@query("select 'B' || item_id as name, upper(translate(hex(encode(text)), '0123456789ABCDEF', 'ACGTACGTACGTACGT')) seq from benchmark")
+def target_load(spark, sf_dir):
+    path = shared_path(spark, "targets")
+    fastx.write_fasta(targets(spark, sf_dir).select(F.concat(F.lit("B"), "rid").alias("name"), F.lower("seq").alias("seq")), path)
+    return fastx.load_targets(fastx.read_fasta_split(spark, path)).select("name", "seq")
+
+
+@query("""with d as (select doc_id, row_number() over (order by doc_id) - 1 frag, text from documents where text <> ''), e as (select doc_id, frag, 'd' || doc_id as name, translate(hex(encode(text)), '0123456789ABCDEF', 'ACGTACGTACGTACGT') seq from d)
+select cast(frag as bigint) frag, name, seq seq1, reverse(seq) seq2, frag % 5 <> 0 same_name from e where frag < (select count(*) from e) // 2""")
+def paired_files(spark, sf_dir):
+    """Records of two files by their number; every fifth second name differs, and the second file is only half as long."""
+    r = reads(spark, sf_dir).where("seq <> ''")
+    n = r.count()
+    order = r.select("id").rdd.map(lambda x: x.id).sortBy(lambda x: x).zipWithIndex().toDF("id long, ordinal long")
+    first = r.join(order, "id").select("ordinal", F.concat("qname", F.lit("/1")).alias("name"), "seq")
+    second = first.where(F.col("ordinal") < n // 2).select("ordinal", F.when(F.col("ordinal") % 5 == 0, "other/2").otherwise(F.regexp_replace("name", "1$", "2")).alias("name"), F.reverse("seq").alias("seq"))
+    return fastx.pair_files(first, second)
+
+
+@query("""with o as (select o_orderkey, o_custkey % 10 k, o_orderkey s, o_orderkey + 8 e from orders), l as (select l_orderkey, l_partkey % 10 k, cast(l_quantity as int) score from lineitem)
+select o_orderkey, l_orderkey as "at", max(score) score from o join l using (k) where o.s <= l_orderkey and l_orderkey < o.e group by o_orderkey, l_orderkey""")
+def highest_at_points(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("k"), F.col("o_orderkey").alias("o_start"), (F.col("o_orderkey") + 8).alias("o_end"))
+    p = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 10).alias("k"), F.col("l_orderkey").alias("at"), F.col("l_quantity").cast("int").alias("score"))
+    return intervals.highest_within(o, p, "k", "score", 64).select("o_orderkey", "at", "score")
+
+
+@query(f"""{QUALITY}, p as (select x.id frag, x.rid, x.rev rev1, x.rs rs1, x.re re1, y.rs rs2, y.re re2, x.score + y.score s, x.mapq m1, y.mapq m2 from quality x join quality y on x.id = y.id and x.rid = y.rid and greatest(x.rs, y.rs) - least(x.re, y.re) <= 800),
+n as (select *, row_number() over w nth, nth_value(s, 2) over (w rows between unbounded preceding and unbounded following) s2, max(s) over (partition by frag) s1 from p window w as (partition by frag order by s desc, rid, rs1, rs2, rev1 desc, re1 desc, re2 desc)),
+b as (select *, count(case when s + 8 >= s1 then 1 end) over (partition by frag) subs from n),
+g as (select *, least(greatest(m1, m2), coalesce(cast(trunc(6.02e0 * (s1 - s2) / 2e0 - 4.343e0 * ln(cast(subs as double))) as int), greatest(m1, m2))) pq, case when s2 is null then 2 when s1 > s2 then 1 else 0 end least_q from b where nth = 1)
+select frag, rid, rev1, rs1, re1, rs2, re2, s pair_score, greatest(case when m1 < pq then cast(trunc(2e-1 * m1 + 8e-1 * pq + 4.99e-1) as int) else m1 end, least_q) mapq1, greatest(case when m2 < pq then cast(trunc(2e-1 * m2 + 8e-1 * pq + 4.99e-1) as int) else m2 end, least_q) mapq2 from g""")
+def pair_quality(spark, sf_dir):
+    """A read's hits as both mates' hits, the second turned round."""
+    h = mapping(spark, sf_dir, None).hits("greedy").select(F.col("id").alias("frag"), "rid", "rev", "rs", "re", "score", "mapq")
+    return intervals.pair_quality(h, h.withColumn("rev", ~F.col("rev")), 800)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nucleotide import name_suffix_trimmed
 from ..session import bounded_batches
 
 RECORD = "name string, comment string, seq string, qual string"
@@ -115,9 +116,20 @@ def write_fastq(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.coalesce("qual", F.expr("repeat('I', length(seq))")))).write.text(path)
 
 
+def load_targets(records: DataFrame) -> DataFrame:
+    """Records as targets: sequences in upper case, those without a name dropped."""
+    return records.withColumn("seq", F.upper("seq")).where("name <> ''")
+
+
+def pair_files(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(frag, name, seq1, seq2, same_name) of the records of two files in lock-step; what the longer one has more is dropped. Names compare without a mate's suffix."""
+    a = first.select(F.col("ordinal").alias("frag"), name_suffix_trimmed(F.col("name")).alias("name"), F.col("seq").alias("seq1"))
+    b = second.select(F.col("ordinal").alias("frag"), name_suffix_trimmed(F.col("name")).alias("__name"), F.col("seq").alias("seq2"))
+    return a.join(b, "frag").select("frag", "name", "seq1", "seq2", (F.col("name") == F.col("__name")).alias("same_name"))
+
+
 def pair_interleaved(records: DataFrame) -> DataFrame:
     """(frag, name, seq1, seq2) of interleaved records; an odd last one is dropped."""
-    trimmed = F.when(F.length("name") >= 3, F.regexp_replace("name", "/[0-9]$", "")).otherwise(F.col("name"))
-    side = records.withColumn("frag", F.floor(F.col("ordinal") / 2)).withColumn("side", F.col("ordinal") % 2).withColumn("name", trimmed)
+    side = records.withColumn("frag", F.floor(F.col("ordinal") / 2)).withColumn("side", F.col("ordinal") % 2).withColumn("name", name_suffix_trimmed(F.col("name")))
     a, b = (side.where(F.col("side") == k) for k in (0, 1))
     return a.select("file", "frag", "name", F.col("seq").alias("seq1")).join(b.select("file", "frag", F.col("seq").alias("seq2")), ["file", "frag"])

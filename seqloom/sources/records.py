@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,15 @@ def paf(hits: DataFrame) -> DataFrame:
     return hits.select("id", "rank", F.concat_ws("\t", *[F.col(c) if isinstance(c, str) else c for c in fields], *tags).alias("line"))
 
 
+def paf_aligned(hits: DataFrame) -> DataFrame:
+    """(id, rank, line) of aligned hits, with the CIGAR and the tags that follow from it."""
+    root = F.col("rank") == F.col("parent")
+    fields = ["qname", "qlen", "qs", "qe", F.when(F.col("rev"), "-").otherwise("+"), "tname", "tlen", "rs", "re", "mlen", "blen", "mapq"]
+    tag = lambda name, kind, c: F.concat(F.lit(f"{name}:{kind}:"), c)
+    tags = [tag("NM", "i", "nm"), tag("ms", "i", "dp_max"), tag("AS", "i", "as_"), tag("nn", "i", "nn"), tag("tp", "A", F.when(root, "P").otherwise("S")), tag("cm", "i", "cnt"), tag("s1", "i", "score"), F.when(root, tag("s2", "i", "second")), tag("de", "f", F.format_string("%.4f", "de")), tag("rl", "i", "rep_len"), tag("cg", "Z", "cigar"), tag("cs", "Z", "cs"), tag("MD", "Z", "md")]
+    return hits.select("id", "rank", F.concat_ws("\t", *[F.col(c) if isinstance(c, str) else c for c in fields], *tags).alias("line"))
+
+
 def parse_paf(lines: DataFrame) -> DataFrame:
     """The twelve fields of PAF lines(line), and a map of tags."""
     f = F.split("line", "\t")
@@ -37,7 +46,8 @@ def sam_flag(hit: dict[str, Column]) -> Column:
 def sam(hits: DataFrame) -> DataFrame:
     """(id, rank, flag, line) of hits with a CIGAR: hits(id, rank, parent, qname, qlen, qs, qe, rev, tname, rs, mapq, cigar, seq, qual, nm, as_).
 
-    Secondary hits have no sequence, supplementary ones are clipped hard, others soft. seq is the read's forward strand.
+    Secondary hits have no sequence, supplementary ones are clipped hard, others soft. seq is the read's forward strand. Primary and
+    supplementary hits of a read with several name the others in SA, best first.
     """
     from ..functions.nucleotide import revcomp
 
@@ -51,10 +61,27 @@ def sam(hits: DataFrame) -> DataFrame:
     qual = F.when(F.col("rev"), F.reverse("qual")).otherwise(F.col("qual"))
     part = lambda c: F.when(secondary, "*").when(supplementary, F.substring(c, left + 1, F.col("qlen") - left - right)).otherwise(c)
     flag = sam_flag({"rev": F.col("rev"), "secondary": secondary, "supplementary": supplementary})
-    line = F.concat_ws("\t", "qname", flag, "tname", F.col("rs") + 1, "mapq", F.concat(ends(left), "cigar", ends(right)), F.lit("*\t0\t0"), part(seq), F.coalesce(part(qual), F.lit("*")), F.concat(F.lit("NM:i:"), "nm"), F.concat(F.lit("AS:i:"), "as_"))
+    if "sa" in hits.columns:
+        others = F.when(F.length("sa") > 0, F.concat(F.lit("SA:Z:"), "sa"))
+    else:
+        others = F.lit(None).cast("string")
+    line = F.concat_ws("\t", "qname", flag, "tname", F.col("rs") + 1, "mapq", F.concat(ends(left), "cigar", ends(right)), F.lit("*\t0\t0"), part(seq), F.coalesce(part(qual), F.lit("*")), F.concat(F.lit("NM:i:"), "nm"), F.concat(F.lit("AS:i:"), "as_"), others)
     return hits.select("id", "rank", flag.alias("flag"), line.alias("line"))
 
 
+def with_others(hits: DataFrame) -> DataFrame:
+    """Aligned hits with sa: place, strand, CIGAR (one match, one gap, clips), quality and edit distance of the read's other hits that are not secondary."""
+    root = F.col("rank") == F.col("parent")
+    left, right = F.when(F.col("rev"), F.col("qlen") - F.col("qe")).otherwise(F.col("qs")), F.when(F.col("rev"), F.col("qs")).otherwise(F.col("qlen") - F.col("qe"))
+    query, target = F.col("qe") - F.col("qs"), F.col("re") - F.col("rs")
+    run = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
+    cigar = F.concat(run(left, "S"), run(F.least(query, target), "M"), run(query - target, "I"), run(target - query, "D"), run(right, "S"))
+    text = F.concat(F.concat_ws(",", "tname", F.col("rs") + 1, F.when(F.col("rev"), "-").otherwise("+"), cigar, "mapq", "nm"), F.lit(";"))
+    all_ = F.sort_array(F.collect_list(F.when(root, F.struct("rank", text.alias("text")))).over(Window.partitionBy("id")))
+    sa = F.when(root, F.array_join(F.transform(F.filter(all_, lambda x: x["rank"] != F.col("rank")), lambda x: x["text"]), ""))
+    return hits.withColumn("sa", sa)
+
+
 def sam_header(targets: DataFrame) -> DataFrame:
     """(line): @HD, an @SQ for each of targets(rid, tname, tlen), @PG; ordered by place."""
     spark = targets.sparkSession
