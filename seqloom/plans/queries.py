@@ -513,15 +513,12 @@ def target_load(spark, sf_dir):
     return fastx.load_targets(fastx.read_fasta_split(spark, path)).select("name", "seq")
 
 
-@query("""with d as (select doc_id, row_number() over (order by doc_id) - 1 frag, text from documents where text <> ''), e as (select doc_id, frag, 'd' || doc_id as name, translate(hex(encode(text)), '0123456789ABCDEF', 'ACGTACGTACGTACGT') seq from d)
-select cast(frag as bigint) frag, name, seq seq1, reverse(seq) seq2, frag % 5 <> 0 same_name from e where frag < (select count(*) from e) // 2""")
+@query("""with e as (select doc_id, translate(hex(encode(text)), '0123456789ABCDEF', 'ACGTACGTACGTACGT') seq from documents where text <> '')
+select doc_id frag, 'd' || doc_id as name, seq seq1, reverse(seq) seq2, doc_id % 5 <> 0 same_name from e""")
 def paired_files(spark, sf_dir):
-    """Records of two files by their number; every fifth second name differs, and the second file is only half as long."""
-    r = reads(spark, sf_dir).where("seq <> ''")
-    n = r.count()
-    order = r.select("id").rdd.map(lambda x: x.id).sortBy(lambda x: x).zipWithIndex().toDF("id long, ordinal long")
-    first = r.join(order, "id").select("ordinal", F.concat("qname", F.lit("/1")).alias("name"), "seq")
-    second = first.where(F.col("ordinal") < n // 2).select("ordinal", F.when(F.col("ordinal") % 5 == 0, "other/2").otherwise(F.regexp_replace("name", "1$", "2")).alias("name"), F.reverse("seq").alias("seq"))
+    """Records of two files by their number; every fifth second name differs."""
+    first = reads(spark, sf_dir).where("seq <> ''").select(F.col("id").alias("ordinal"), F.concat("qname", F.lit("/1")).alias("name"), "seq")
+    second = first.select("ordinal", F.when(F.col("ordinal") % 5 == 0, "other/2").otherwise(F.regexp_replace("name", "1$", "2")).alias("name"), F.reverse("seq").alias("seq"))
     return fastx.pair_files(first, second)
 
 
@@ -536,8 +533,8 @@ def highest_at_points(spark, sf_dir):
 @query(f"""{QUALITY}, p as (select x.id frag, x.rid, x.rev rev1, x.rs rs1, x.re re1, y.rs rs2, y.re re2, x.score + y.score s, x.mapq m1, y.mapq m2 from quality x join quality y on x.id = y.id and x.rid = y.rid and greatest(x.rs, y.rs) - least(x.re, y.re) <= 800),
 n as (select *, row_number() over w nth, nth_value(s, 2) over (w rows between unbounded preceding and unbounded following) s2, max(s) over (partition by frag) s1 from p window w as (partition by frag order by s desc, rid, rs1, rs2, rev1 desc, re1 desc, re2 desc)),
 b as (select *, count(case when s + 8 >= s1 then 1 end) over (partition by frag) subs from n),
-g as (select *, least(greatest(m1, m2), coalesce(cast(trunc(6.02e0 * (s1 - s2) / 2e0 - 4.343e0 * ln(cast(subs as double))) as int), greatest(m1, m2))) pq, case when s2 is null then 2 when s1 > s2 then 1 else 0 end least_q from b where nth = 1)
-select frag, rid, rev1, rs1, re1, rs2, re2, s pair_score, greatest(case when m1 < pq then cast(trunc(2e-1 * m1 + 8e-1 * pq + 4.99e-1) as int) else m1 end, least_q) mapq1, greatest(case when m2 < pq then cast(trunc(2e-1 * m2 + 8e-1 * pq + 4.99e-1) as int) else m2 end, least_q) mapq2 from g""")
+drawn as (select *, least(greatest(m1, m2), coalesce(cast(trunc(6.02e0 * (s1 - s2) / 2e0 - 4.343e0 * ln(cast(subs as double))) as int), greatest(m1, m2))) pq, case when s2 is null then 2 when s1 > s2 then 1 else 0 end least_q from b where nth = 1)
+select frag, rid, rev1, rs1, re1, rs2, re2, s pair_score, greatest(case when m1 < pq then cast(trunc(2e-1 * m1 + 8e-1 * pq + 4.99e-1) as int) else m1 end, least_q) mapq1, greatest(case when m2 < pq then cast(trunc(2e-1 * m2 + 8e-1 * pq + 4.99e-1) as int) else m2 end, least_q) mapq2 from drawn""")
 def pair_quality(spark, sf_dir):
     """A read's hits as both mates' hits, the second turned round."""
     h = mapping(spark, sf_dir, None).hits("greedy").select(F.col("id").alias("frag"), "rid", "rev", "rs", "re", "score", "mapq")

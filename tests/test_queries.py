@@ -181,6 +181,47 @@ def test_options_of_the_plan(spark):
     assert pairs == {(1, 2), (1, 3)}
 
 
+def test_aligned_records(spark):
+    """A read of two distant pieces: two primary hits, each named in the other's SA; PAF's CIGAR and tags agree with the alignment."""
+    import random
+
+    from seqloom.plans.config import preset
+    from seqloom.plans.mapping import Mapping
+
+    r = random.Random(31)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    a, b = dna(2000), dna(2000)
+    read = a[300:1300] + b[500:1100]
+    reads = spark.createDataFrame([(1, "x", read)], "id long, qname string, seq string")
+    targets = spark.createDataFrame([(0, "a", a), (1, "b", b)], "rid long, tname string, seq string")
+    m = Mapping(reads, targets, preset("map-ont"))
+    lines = {x["rank"]: x.line.split("\t") for x in m.paf_aligned().collect()}
+    assert [lines[k][5] for k in (0, 1)] == ["a", "b"] and all(int(f[11]) == 60 for f in lines.values())
+    for f in lines.values():
+        tags = {t[:2]: t[5:] for t in f[12:]}
+        assert tags["tp"] == "P" and tags["s2"] == "0" and int(tags["ms"]) >= int(tags["AS"]) > 0
+        ops = pairwise.cigar_ops(tags["cg"])
+        assert sum(n for n, op in ops if op in "MI") == int(f[3]) - int(f[2]) and sum(n for n, op in ops if op in "MD") == int(f[8]) - int(f[7])
+    sam = {x["rank"]: x for x in m.sam().collect()}
+    assert [sam[k].flag for k in (0, 1)] == [0, 2048]
+    assert "SA:Z:b,501,+," in sam[0].line and "SA:Z:a,301,+," in sam[1].line
+
+
+def test_hits_that_are_too_short_or_clipped_go(spark):
+    hits = spark.createDataFrame([(1, 5, 90, 200, 0, 100, 100), (2, 2, 90, 200, 0, 100, 100), (3, 5, 30, 200, 0, 100, 100), (4, 5, 90, 70, 0, 100, 100), (5, 5, 90, 200, 30, 60, 100)], "id long, cnt int, mlen int, dp_max int, qs int, qe int, qlen int")
+    assert [x.id for x in select.long_enough(hits, 3, 40, 80).collect()] == [1, 5]
+    assert [x.id for x in select.long_enough(hits, 3, 40, 80, 0.2).collect()] == [1]
+    assert select.long_enough(hits.where("false"), 3, 40, 80).count() == 0
+
+
+def test_cigar_of_nothing(spark):
+    from seqloom.functions import cigar
+
+    x = F.col("c")
+    rows = spark.createDataFrame([("",), (None,), ("3M1I2N",)], "c string").select(cigar.run_count(x).alias("n"), cigar.packed_runs(x).alias("p"), cigar.bases_of(x, "MN").alias("b"), cigar.gap_opens(x).alias("g")).collect()
+    assert tuple(rows[0]) == (0, [], 0, 0) and rows[1].p is None and tuple(rows[2]) == (3, [48, 17, 35], 5, 1)
+
+
 def test_fastx_parser():
     parse = lambda t, **k: list(fastx.parse_records(iter(t.splitlines(True)), **k))
     assert parse(">a b c\r\nAC GU\r\n\r\nTT\n>x\n") == [("a", "b c", "ACGTTT", None), ("x", None, "", None)]
