@@ -161,8 +161,8 @@ def dp_chains(anchors: DataFrame, lengths: DataFrame, max_dist: int = 5000, band
 def rescue_chains(chains: DataFrame, lengths: DataFrame, max_dist: int, bandwidth: int, min_cnt: int, min_score: int, gap_pen: float, skip_pen: float, inner: int, least_bare: int = 1000, least_share: float = 0.1) -> DataFrame:
     """Chains of dp_chains, where reads of several chains are chained again, from the anchors of these, by range minima within a wider bandwidth.
 
-    So it is for reads whose first chain (by strand, target and place) leaves over least_bare bases or spans over least_share of the read. A read's
-    chains are written once to find these reads; the others' rows pass through.
+    So it is for reads whose first chain (by strand, target and place) leaves over least_bare bases or spans over least_share of the read.
+    The others' rows pass through.
     """
     first = F.min(F.struct("rev", "rid", F.get("anchors", 0)["ref_pos"].alias("at"), (F.get("anchors", F.size("anchors") - 1)["query_pos"] - F.get("anchors", 0)["query_pos"]).alias("span"))).over(Window.partitionBy("id"))
     rows = chains.join(lengths, "id").withColumn("__span", first["span"]).withColumn("__n", F.count("*").over(Window.partitionBy("id")))
