@@ -10,8 +10,8 @@ which gets its name only when it is complete, so a task that runs again leaves t
 order of document id, and file numbers ascend too. Null ids come first. Rows that repeat an id are ordered by a hash of their text, so that
 a frequent id is dealt out over files too. Null and empty texts have only the end id. An empty table writes files without documents, or none.
 
-With a tokenizer whose rules are those of NORMALIZER and PRE_TOKENIZER, texts are cut at spaces and line breaks, which it drops, and each
-different piece is encoded once in each worker. With any other, whole texts are encoded.
+With a tokenizer whose rules are those of NORMALIZER and PRE_TOKENIZER, texts are cut at spaces and line breaks, which it drops, and a batch's
+different pieces into words, put in lower case, and marks after them; a worker encodes each word once. With any other, whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,10 +48,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 MAGIC = b"SEQLTOK1"
 TRAILER = struct.Struct("<IIQQQQI")  # bits, block, documents, ids, blocks, footer's place, footer's crc32
-#: Pieces that a worker remembers.
+#: Words, marks and other pieces that a worker remembers.
 PIECES = 800_000
 #: Longer ones, in characters, are not remembered.
 LONG = 64
+#: Runs of ids that are gathered at once.
+SLICE = 1 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -145,9 +149,26 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-#: A word of letters whose lower case is as long and of this class too, then marks that make one pre-token.
+#: Letters whose lower case is as long and of this class too, and marks of which any number after a word is one pre-token.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªºµ")
 _MARKS = ".,;:!?*#$%&"
-_PLAIN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]*")
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The character of each byte in the tokenizer's vocabulary; the space stays, as it stands between words here.
+_BYTES = "".join(chr(b) if b in _KEPT or b == 32 else chr(256 + sum(x not in _KEPT for x in range(b))) for b in range(256))
+
+
+def gather(pool: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `which` of a pool of runs with these bounds, one after the other, and their own bounds."""
+    out = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(np.diff(bounds)[which], out=out[1:])
+    got = np.empty(out[-1], pool.dtype)
+    for a in range(0, len(which), SLICE):
+        to = out[a : a + SLICE + 1]
+        at = np.repeat(bounds[which[a : a + SLICE]] - to[:-1], np.diff(to))
+        at += np.arange(to[0], to[-1])
+        got[to[0] : to[-1]] = pool[at]
+    return got, out
 
 
 class PieceEncoder:
@@ -163,63 +184,71 @@ class PieceEncoder:
         self.by_piece = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and all(t["content"].startswith("<|") and not {" ", "\n"} & set(t["content"]) for t in rules.get("added_tokens", []))
         self.vocabulary = 1 + max(END_ID, *self.tokenizer.get_vocab().values())
         self.vocabulary = max(self.vocabulary, self.tokenizer.get_vocab_size())
-        self.kind, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
+        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.ends_word = np.zeros(self.vocabulary, bool)
-        self.of_words = Tokenizer(self.tokenizer.model)  # for words that the rules leave as they are
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.of_words = Tokenizer(self.tokenizer.model)  # for words that the rules leave as they are, in the vocabulary's characters
+        self.of_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = rules["model"].get("end_of_word_suffix") or ""
         self.by_piece = self.by_piece and bool(suffix)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words in lower case, encoded as one text: each word is one pre-token, whose last token has the end-of-word mark."""
-        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("the tokenizer does not end each word once")
-        packed = ids.astype(self.kind).tobytes()
-        ends = (ends * np.dtype(self.kind).itemsize).tolist()
-        return [packed[a:z] for a, z in zip([0, *ends], ends, strict=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of pieces in seen. Marks after a plain word are tokens apart from it."""
-        seen = self.seen
-        plain = list(filter(_PLAIN.fullmatch, pieces))
-        if others := list(pieces.difference(plain)):
-            seen.update(zip(others, self._ids(others), strict=True))
-        if not plain:
-            return
-        words = [p.rstrip(_MARKS) for p in plain]
-        marks = [p[len(w) :] for p, w in zip(plain, words, strict=True)]
-        words = " ".join(words).lower().split(" ")
-        different = list(set(words))
-        word_ids = dict(zip(different, self._word_ids(different), strict=True))
-        different = list(set(marks))
-        mark_ids = dict(zip(different, self._ids(different), strict=True))
-        seen.update({p: word_ids[w] + mark_ids[m] for p, w, m in zip(plain, words, marks, strict=True)})
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        #: Numbers of words in lower case, marks, and pieces of any other form; number k has ids[bounds[k]:bounds[k + 1]].
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.bounds = np.empty(0, self.kind), np.zeros(2, np.int64)
+
+    def _add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(keys)), strict=True))
+        self.bounds = np.concatenate((self.bounds, len(self.ids) + ends))
+        self.ids = np.concatenate((self.ids, ids.astype(self.kind)))
+
+    def _learn(self, new: list[str]) -> None:
+        """Words are encoded as one text: each is one pre-token, whose last token has the end-of-word mark."""
+        if words := list(filter(_WORD.fullmatch, new)):
+            text = charmap_decode(" ".join(words).encode(), "strict", _BYTES)[0]
+            ids = np.array(self.of_words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(words):
+                raise ValueError("the tokenizer does not end each word once")
+            self._add(words, ids, ends)
+        if others := list(set(new).difference(words)):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            self._add(others, np.fromiter(chain.from_iterable(lists), np.int32), np.cumsum([len(x) for x in lists]))
+
+    def _forget(self, keys: list[str]) -> None:
+        """Keep what these have."""
+        keys = ["", *(k for k in keys if k and k in self.number)]
+        self.ids, self.bounds = gather(self.ids, self.bounds, np.array([self.number[k] for k in keys]))
+        self.number = {k: i for i, k in enumerate(keys)}
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
         if not self.by_piece:
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(texts if isinstance(texts, list) else texts.to_pylist(), add_special_tokens=False):
                 yield np.array(e.ids, self.kind)
             return
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        pieces = set().union(*cuts)
-        if len(self.seen) >= PIECES:  # what these texts have recurs
-            self.seen = {"": b""} | {p: self.seen[p] for p in pieces & self.seen.keys()}
-        new = pieces.difference(self.seen)
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if column.nbytes > 1 << 29:
+            column = column.cast(pa.large_string())
+        cuts = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        pieces = cuts.flatten().dictionary_encode()
+        whole = pieces.dictionary
+        words, marks = pc.utf8_rtrim(whole, _MARKS), pc.utf8_ltrim(whole, _LETTERS)
+        plain = pc.equal(pc.add(pc.binary_length(words), pc.binary_length(marks)), pc.binary_length(whole))  # letters, then marks
+        keys = pa.concat_arrays([pc.if_else(plain, pc.utf8_lower(words), whole), pc.if_else(plain, marks, pa.scalar("", whole.type))]).dictionary_encode()
+        n = len(keys.dictionary)
+        names = pc.binary_join(pa.LargeListArray.from_arrays([0, n], keys.dictionary), pa.scalar(" ", whole.type))[0].as_py().split(" ")[:n]  # faster than to_pylist
+        if len(self.number) >= PIECES or len(self.ids) >= 16 * PIECES:  # what these texts have recurs
+            self._forget(names)
+        new = [k for k in names if k not in self.number]
         if new:
             self._learn(new)
-        join, of = b"".join, self.seen.__getitem__
-        for c in cuts:
-            yield np.frombuffer(join(map(of, c)), self.kind)
-        for p in new:
-            if len(p) > LONG:
-                del self.seen[p]
+        of = np.fromiter(map(self.number.__getitem__, names), np.int64, n)[keys.indices.to_numpy()]
+        ids, bounds = gather(self.ids, self.bounds, of.reshape(2, -1).T.ravel())  # of each different piece: its word's, its marks'
+        ids, bounds = gather(ids, bounds[::2], pieces.indices.to_numpy())
+        bounds = bounds[cuts.offsets.to_numpy()].tolist()
+        for a, z in pairwise(bounds):
+            yield ids[a:z]
+        for k in new:
+            if len(k) > LONG:
+                del self.number[k]
 
 
 @lru_cache(maxsize=2)
@@ -260,7 +289,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         try:
             out = Writer(store.open_output_stream(temporary), enc.vocabulary)
             for b in batches:
-                for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                     out.add(doc_id, np.concatenate((ids, end)))
             out.close()
         except BaseException:

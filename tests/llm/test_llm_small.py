@@ -136,6 +136,30 @@ def test_pieces_encode_as_whole_texts():
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_encode_once_whatever_their_case_and_marks(monkeypatch):
+    e = token_pack.PieceEncoder(token_pack.tokenizer_path())
+    learned, learn = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda new: (learned.extend(new), learn(new)))
+    texts = [["tree été"], ["Tree, TREE!?\nÉté."], ["tree,  ÉTÉ!? don't.", ""]]
+    for t in texts:
+        assert [x.tolist() for x in e.encode(t)] == [x.ids for x in e.tokenizer.encode_batch(t, add_special_tokens=False)]
+    assert sorted(learned) == sorted(["tree", "été", ",", "!?", ".", "don't."])
+
+
+def test_words_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(token_pack, "PIECES", 20)
+    monkeypatch.setattr(token_pack, "SLICE", 3)
+    e = token_pack.PieceEncoder(token_pack.tokenizer_path())
+    r = random.Random(4)
+    for _ in range(40):
+        texts = ["".join(r.choice("abÉ tT., 1'\n") for _ in range(r.randint(0, 30))) for _ in range(8)] + ["x" * 100 + ".", "-" * 100]
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert not any(len(k) > token_pack.LONG for k in e.number)
+    assert len(e.bounds) < 200
+    for kind in (pa.string(), pa.large_string()):
+        assert [x.tolist() for x in e.encode(pa.array(["-", "Été, été", ""], kind).slice(1))] == [e.tokenizer.encode("Été, été", add_special_tokens=False).ids, []]
+
+
 # byte-level BPE
 
 
