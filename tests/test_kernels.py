@@ -246,3 +246,16 @@ def test_presets():
     with pytest.raises(ValueError):
         preset("nothing")
     assert (parse_size("8G"), parse_size("500k"), parse_size("7")) == (8 * 10**9, 500_000, 7)
+
+
+def test_minimizers_of_many_sequences_at_once():
+    r = random.Random(21)
+    for w, k in ((1, 1), (3, 5), (10, 7), (10, 19)):
+        for alphabet in ("ACGT", "AC", "A"):
+            parts = ["".join(r.choice(alphabet) for _ in range(r.choice((0, 3, k, k + w - 2, k + w, 60)))) for _ in range(12)]
+            bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            part, found = sketch.plain_minimizers(codes("".join(parts)), bounds, w, k)
+            alone = [sketch.minimizers(raw(p), w, k) for p in parts]
+            assert part.tolist() == [i for i, x in enumerate(alone) for _ in x[0]]
+            for column in range(4):
+                assert found[column].tolist() == np.concatenate([x[column] for x in alone]).tolist()
