@@ -354,3 +354,39 @@ def test_second_best_and_quality_come_before_hits_are_dropped(spark):
             sure = min((1 if score > 100 else 0.01 * score) * unique, 1 if cnt > 10 else 0.1 * cnt)
             q = int(sure * 40 * (1 - max(second, 40) / score) * math.log(score)) - int(4.343 * math.log(subs + 1) + 0.499)
             assert x.mapq == (min(60, max(0, q)) if rank == parent else 0)
+
+
+def test_sketch_of_packed_bases(spark, sf_dir):
+    from seqloom.operators import seeds
+    from seqloom.operators.sketch import SeedFilter, sketch
+
+    reads = q.reads(spark, sf_dir).withColumn("mark", F.col("id") % 7)
+    columns = ["id", "ord", "pos", "hash", "span", "strand", "mark"]
+    for method, options in (("minimizer", {"w": 10, "k": 19}), ("hpc", {"w": 10, "k": 19}), ("syncmer", {"k": 19, "s": 7})):
+        rows = [set(map(tuple, sketch(reads, method, seq_col=c, carry=["mark"], **options).select(columns).collect())) for c in ("seq", "packed")]
+        assert rows[0] and rows[0] == rows[1]
+    known = sketch(q.targets(spark, sf_dir), id_col="rid", w=10, k=19)
+    through = sketch(reads, seq_col="packed", only=SeedFilter(known, known.count()), w=10, k=19)
+    all_ = sketch(reads, seq_col="packed", w=10, k=19)
+    want = {tuple(r) for r in all_.join(known.select("hash").distinct(), "hash").select("id", "ord", "pos", "hash").collect()}
+    got = through.join(known.select("hash").distinct(), "hash").select("id", "ord", "pos", "hash").collect()
+    assert want == set(map(tuple, got)) and through.count() < all_.count() / 5
+    counts = {r.id: r.n for r in all_.groupBy("id").agg(F.count("*").alias("n")).collect()}
+    lengths = {r.id: len(r.seq) for r in reads.collect()}
+    assert all(r.seeds == counts[r.id] and r.len == lengths[r.id] for r in through.collect())
+    kept = seeds.drop_repeats_in_query(through, 2, 0.01).select("id", "pos").collect()
+    assert set(kept) == set(seeds.drop_repeats_in_query(all_, 2, 0.01).join(through, ["id", "pos"], "left_semi").select("id", "pos").collect())
+
+
+def test_reads_seeds_are_sketched_once_and_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
+    from seqloom.plans import mapping
+
+    m = q.mapping(spark, sf_dir, None)
+    plan = m.chains("greedy")._jdf.queryExecution().toString() + m.repetitive._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # neither sketch is in the plan any more
+    assert m.matched.count() < m.read_seeds.count() / 5
+    monkeypatch.setattr(mapping, "ROWS_A_TASK", 100)
+    few = q.mapping(spark, sf_dir)
+    n = few.anchors.count()
+    assert few.grouped_anchors.rdd.getNumPartitions() >= n // 100 > 4
+    assert few.grouped_anchors.count() == n
