@@ -390,3 +390,15 @@ def test_reads_seeds_are_sketched_once_and_dealt_out_by_their_number(spark, sf_d
     n = few.anchors.count()
     assert few.grouped_anchors.rdd.getNumPartitions() >= n // 100 > 4
     assert few.grouped_anchors.count() == n
+
+
+def test_selection_of_seeds_walks_a_read_once(spark):
+    from seqloom.operators import seeds
+
+    n = 40_000
+    matched = spark.range(n).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("ord"), (F.col("id") * 10).cast("int").alias("pos"), F.when(F.col("id") % 1000 == 0, 1).otherwise(20).alias("occ"))
+    lengths = spark.createDataFrame([(1, 10 * n)], "id int, len int")
+    out = seeds.select_seeds(matched, lengths, 10, 4095, 500)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    # 40 rare seeds; of the 999 between two of them, one for each 500 bases
+    assert out.where("kept").count() == 40 + 40 * 20
