@@ -402,3 +402,56 @@ def test_selection_of_seeds_walks_a_read_once(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
     # 40 rare seeds; of the 999 between two of them, one for each 500 bases
     assert out.where("kept").count() == 40 + 40 * 20
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_fastq_is_split_within_records(spark, tmp_path, strict):
+    import gzip
+    import random
+
+    r = random.Random(5)
+
+    def text(n):
+        out = []
+        for i in range(n):
+            size = r.choice((0, 1, 7, 40, 400))
+            qual = "".join(r.choice("@+I>") for _ in range(size if r.random() < 0.8 else size + 1))
+            out += [f"@r{i} c{i}", "".join(r.choice("ACGTU") for _ in range(size)), r.choice(("+", "+", "x")), qual]
+            out += r.choice(([], [], ["", "junk", "+"]))
+        return "\n".join(out[: len(out) - r.randrange(4)]) + "\n"
+
+    files = {f"f{k}.fq": text(60) for k in range(5)} | {"x.fa": ">a\nAC\nGU\n>b c\nGG\n", "empty.fq": "", "odd{1}[2].fq": text(9)}
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    (tmp_path / "y.fq.gz").write_bytes(gzip.compress(files["f0.fq"].encode()))
+    (tmp_path / "z.fq").write_bytes(gzip.compress(files["f1.fq"].encode()))
+    files |= {"y.fq.gz": files["f0.fq"], "z.fq": files["f1.fq"]}
+    want = sorted((name, n, *rec) for name, t in files.items() for n, rec in enumerate(fastx.parse_records(iter(t.splitlines()), strict)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most, batch in (("700b", "10000"), ("90b", "3"), ("128m", "5")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = fastx.read_fastx(spark, str(tmp_path), strict).collect()
+            assert sorted((x.file.rsplit("/", 1)[1], x.ordinal, x.name, x.comment, x.seq, x.qual) for x in got) == want
+            assert all(x.file.startswith("file:/") and not x.file.startswith("file:///") for x in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def test_stream_of_fasta_is_split_at_records(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.fa").write_text("".join(f">r{k}_{i} note\nAC\nGU{'T' * i}\n" for i in range(50)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        stream = fastx.stream_fasta(spark, str(tmp_path / "in")).withColumn("part", F.spark_partition_id())
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((x.name, x.comment, x.seq) for x in out) == sorted((f"r{k}_{i}", "note", "ACGT" + "T" * i) for k in range(3) for i in range(50))
+    assert len({x.part for x in out}) > 3
