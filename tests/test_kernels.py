@@ -259,3 +259,23 @@ def test_minimizers_of_many_sequences_at_once():
             assert part.tolist() == [i for i, x in enumerate(alone) for _ in x[0]]
             for column in range(4):
                 assert found[column].tolist() == np.concatenate([x[column] for x in alone]).tolist()
+
+
+def test_links_of_all_pairs_at_once(monkeypatch):
+    r = np.random.default_rng(17)
+    for _ in range(200):
+        n, length = int(r.integers(1, 60)), int(r.choice([30, 300, 20_000]))
+        ref, query, span = np.sort(r.integers(0, length, n)), r.integers(0, length, n), r.integers(15, 25, n)
+        costs = (ref, query, span, int(r.choice([100, 5000])), int(r.choice([20, 500])), 0.152, float(r.choice([0, 0.05])))
+        monkeypatch.setattr(chain, "AT_ONCE", 256)
+        best, before = chain.best_links(*costs)
+        monkeypatch.setattr(chain, "AT_ONCE", 0)
+        assert [x.tolist() for x in chain.best_links(*costs)] == [best.tolist(), before.tolist()]
+
+
+def test_long_alignments_take_no_array_of_the_query_for_each_diagonal(monkeypatch):
+    made = []
+    full = np.full
+    monkeypatch.setattr(np, "full", lambda *a, **b: made.append(1) or full(*a, **b))
+    assert align("ACGT" * 20, "ACGT" * 20)[5] == "80M"
+    assert len(made) < 20
